@@ -50,6 +50,7 @@ def repeat_filter(hashes: DataFrame, blocks: int) -> DataFrame:
     def fill(batches):
         seen: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         first: set[int] = set()
+        again: set[int] = set()
         for batch in batches:
             h = batch.column(0).to_numpy()
             block = batch.column(1).to_numpy()
@@ -58,11 +59,12 @@ def repeat_filter(hashes: DataFrame, blocks: int) -> DataFrame:
                 pair = seen.get(b)
                 if pair is None:
                     pair = seen[b] = ([], [])
-                if x in first:
-                    pair[1].extend(p.tolist())
-                else:
+                if x not in first:
                     first.add(x)
                     pair[0].extend(p.tolist())
+                elif x not in again:
+                    again.add(x)
+                    pair[1].extend(p.tolist())
         keys = list(seen)
         for i in range(0, len(keys), 10_000):
             some = keys[i : i + 10_000]

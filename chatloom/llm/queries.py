@@ -7,7 +7,28 @@ from pyspark.sql import functions as F
 
 from chatloom.runtime import load
 
-from . import encode, exact, mixing
+from . import encode, exact, history, mixing, near, unify
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.alike_pairs(load(spark, sf_dir, "messages"))
+
+
+def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.groups(load(spark, sf_dir, "messages"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unify.changed(load(spark, sf_dir, "messages")).select("seq", "field")
+
+
+def p3_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unify.unify(load(spark, sf_dir, "messages")).select("seq", "content", "sender")
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    messages, incoming = load(spark, sf_dir, "messages", "incoming")
+    return history.repeats(messages, incoming)
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,7 +57,7 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(mixing.mixture(sizes, planned), planned)
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_collapsed, p7_ids, p8_mixture, p8_shares)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_groups, p3_found, p3_unified, p5_found, p5_collapsed, p6_found, p7_ids, p8_mixture, p8_shares)}
 
 _CANON = "regexp_replace(lower(coalesce({}, '')), '[^\\p{{L}}\\p{{N}}]', '', 'g')"
 _BODY = (
