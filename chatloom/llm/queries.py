@@ -7,7 +7,15 @@ from pyspark.sql import functions as F
 
 from chatloom.runtime import load
 
-from . import encode, exact, history, mixing, near, unify
+from . import encode, exact, history, mixing, near, personal, scanned, subjects, unify
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.found(load(spark, sf_dir, "messages"))
+
+
+def p1_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.mask(load(spark, sf_dir, "messages")).select("seq", "content")
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +39,14 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.repeats(messages, incoming)
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scanned.noises(load(spark, sf_dir, "messages"))
+
+
+def p4_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scanned.paragraphs(load(spark, sf_dir, "messages"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact.copies(load(spark, sf_dir, "messages"))
     return found.filter("seq <> lowest").select(F.col("lowest").alias("seq_a"), F.col("seq").alias("seq_b"))
@@ -57,7 +73,15 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(mixing.mixture(sizes, planned), planned)
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_groups, p3_found, p3_unified, p5_found, p5_collapsed, p6_found, p7_ids, p8_mixture, p8_shares)}
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subjects.about(*load(spark, sf_dir, "documents", "doc_labels", "subjects"))
+
+
+def p9_measured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p9_found(spark, sf_dir).groupBy("subject").agg(F.count(F.lit(1)).alias("documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_masked, p2_found, p2_groups, p3_found, p3_unified, p4_found, p4_paragraphs, p5_found, p5_collapsed, p6_found, p7_ids, p8_mixture, p8_shares, p9_found, p9_measured)}
 
 _CANON = "regexp_replace(lower(coalesce({}, '')), '[^\\p{{L}}\\p{{N}}]', '', 'g')"
 _BODY = (

@@ -87,6 +87,17 @@ def group_lowest(rows: DataFrame, keys: list[str], order: str, lowest: str, coun
     return rows.join(F.broadcast(hot), keys).unionByName(rows.join(sizes.filter(F.col(count) <= limit), keys))
 
 
+def bounded_sample(rows: DataFrame, key: str, about: int) -> DataFrame:
+    """About ``about`` of the rows, or all of fewer, chosen by a hash of ``key``: the same ones in every run.
+
+    A filter, so that no more than the sample reaches the driver however many partitions there are.
+    """
+    total = rows.count()
+    if total <= about:
+        return rows
+    return rows.filter(F.pmod(F.xxhash64(F.lit(7), key), F.lit(1 << 40)) < int(about / total * (1 << 40)))
+
+
 def blank(c: Column) -> Column:
     """True where a text is null, empty or only Unicode white space."""
     return c.isNull() | ~c.rlike(r"(?U)\S")

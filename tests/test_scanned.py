@@ -1,0 +1,37 @@
+"""Problem 4: furniture, split words and misread characters of a page."""
+
+import pytest
+
+from chatloom.llm.scanned import furniture, noise, readable, train
+
+CLEAN = ["The borrowed wardrobe was weighed after lunch.", "The wooden basket got soaked on the balcony.", "The wardrobe and the basket were hidden in the wooden shed.", "今天在天台上的衣柜还在晾。", "昨天在雨棚下的篮子找到了。"]
+PAGE = "— Coopers Library Rules —\nThe borrowed wardr0be was wei-\nghed after lunch, and then the\n[7]\nwooden basket got soaked on the\nbalcony and the wardrobe was\nhidden in the shed."
+
+
+@pytest.fixture(scope="module")
+def editor():
+    return train(CLEAN * 60)
+
+
+def test_furniture():
+    lines, kinds = furniture(PAGE)
+    assert kinds == {"header", "page_number"}
+    assert len(lines) == 5
+
+
+def test_all_kinds(editor):
+    assert noise(PAGE, editor) == {"hyphen", "misread", "header", "page_number"}
+
+
+def test_readable(editor):
+    assert readable(PAGE, editor) == "The borrowed wardrobe was weighed after lunch, and then the wooden basket got soaked on the balcony and the wardrobe was hidden in the shed."
+
+
+def test_bare_numbers_of_a_chat_stay(editor):
+    assert noise("0873\n12\nok", editor) == set()
+    assert readable("0873\n12\nok", editor) == "0873\n12\nok"
+
+
+def test_han_characters(editor):
+    assert noise("昨夭在雨棚下的篮子找到了。", editor) == {"misread"}
+    assert noise("昨天在雨棚下的篮子找到了。", editor) == set()
