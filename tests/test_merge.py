@@ -1,0 +1,44 @@
+"""Merge of exports and summaries: repeats, nulls, ties and empty input."""
+
+from datetime import datetime
+
+import pytest
+from pyspark.sql import SparkSession
+
+from chatloom.operators.merge import merge, sender_counts, session_summary
+
+SCHEMA = "id string, sender string, content string, timestamp timestamp, seq bigint"
+
+
+@pytest.fixture(scope="module")
+def spark():
+    return SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+
+
+def at(day, second=0, micro=0):
+    return datetime(2024, 1, day, 12, 0, second, micro)
+
+
+def test_merge(spark):
+    rows = [
+        ("m2", "A", "late", at(3), 1), ("m1", "A", "early", at(1), 2), ("m2", "B", "same id", at(1), 3),
+        ("", "Bob", " Hi​  there ", at(2, 0, 5), 4), (None, "bob", "Hi there", at(2, 0, 9), 5), (None, None, None, None, 6),
+        ("t", "A", "星期五 23:53", at(1), 7), ("u", "A", "昨天", at(1), 8), ("v", "A", "12", at(1), 9),
+    ]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert [r.seq for r in merge(df, exclude_time_only=True).collect()] == [2, 9, 4, 1, 6]
+    assert merge(df).count() == 7
+
+
+def test_summaries(spark):
+    df = spark.createDataFrame([(None, s, "x", at(d), i) for i, (s, d) in enumerate([("我", 1), ("对方", 2), (None, 3), ("我", 7), ("我", 8)])], SCHEMA)
+    assert tuple(session_summary(df).first()) == (8, 3, 3)
+    assert tuple(sender_counts(df).first()) == (3, 1, 5)
+    assert tuple(session_summary(df.limit(0)).first()) == (0, 0, 0)
+    assert tuple(sender_counts(df.limit(0)).first()) == (0, 0, 0)
+
+
+def test_entry_returns_rows(spark):
+    import __spark_entry__
+
+    assert __spark_entry__.entry(spark).count() > 0
