@@ -78,14 +78,19 @@ class HashForest:
     trees: int = TREES
     depth: int = DEPTH
     runs: list[str] = field(default_factory=list)
+    made: int = 0  # runs written so far; goes on over merges, so that no folder is used twice
 
     @classmethod
     def create(cls, spark: SparkSession, path: str | None = None, **kw) -> HashForest:
         return cls(spark, path or scratch_path(spark, "forest"), **kw)
 
+    def _next(self, kind: str) -> str:
+        self.made += 1
+        return f"{self.path}/{kind}-{self.made - 1:05d}"
+
     def append(self, rows: DataFrame) -> HashForest:
         """Take in the accepted ``rows`` of ``entries``."""
-        run = f"{self.path}/run-{len(self.runs):05d}"
+        run = self._next("run")
         digest = F.unhex(F.md5(F.concat_ws("\x1f", "sender", "text")))
         long = materialise(rows.filter("text is not null").select("seq", "sender", "text", digest.alias("digest")), "long")
         first = long.groupBy("digest").agg(F.min("seq").alias("seq"))
@@ -103,7 +108,7 @@ class HashForest:
 
     def merge(self) -> HashForest:
         """One run of all runs; entries with equal text of a sender stay side by side, which changes no result."""
-        run = f"{self.path}/run-merged-{len(self.runs):05d}"
+        run = self._next("run-merged")
         self._read("paths", "tree int, path binary, entry bigint").repartitionByRange(parts(self.spark), "tree", "path").sortWithinPartitions("tree", "path").write.option("compression", "zstd").parquet(f"{run}/paths")
         self._read("entries", "entry bigint, sender string, text string").write.option("compression", "zstd").parquet(f"{run}/entries")
         self._read("ids", "id string, lowest bigint").groupBy("id").agg(F.min("lowest").alias("lowest")).write.option("compression", "zstd").parquet(f"{run}/ids")

@@ -1,0 +1,28 @@
+"""Problem 6: a forest takes batches after a merge of its runs."""
+
+import pytest
+from pyspark.sql import SparkSession
+
+from chatloom.llm.history import HashForest
+
+LONG = "".join(f"abcdefg{i}hijk" for i in range(20))
+
+
+@pytest.fixture(scope="module")
+def spark():
+    return SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+
+
+def test_append_after_merge(spark):
+    rows = lambda *xs: spark.createDataFrame(list(xs), "seq bigint, id string, sender string, text string")
+    forest = HashForest.create(spark)
+    forest.append(rows((1, "x", "a", LONG)))
+    forest.append(rows((2, "y", "b", LONG)))
+    forest.merge()
+    batch = rows((3, "z", "a", LONG + "more"), (4, "y", "c", None), (5, "w", "d", LONG))
+    forest.append(batch)
+    assert len(set(forest.runs)) == 2
+    assert {tuple(r) for r in forest.lookup(forest.runs[-1:], batch).collect()} == {(1, 3), (2, 4)}
+    forest.merge()
+    forest.append(rows((6, "q", "a", LONG)))
+    assert {tuple(r) for r in forest.lookup(forest.runs[-1:], rows((6, "q", "a", LONG))).collect()} == {(1, 6)}
