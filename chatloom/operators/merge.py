@@ -1,57 +1,73 @@
-"""Merge of exports and summaries."""
+"""Merge of exports: filter, first wins, order; and unions of files, scans and chats."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-_CLOCK = r"\d{1,2}:\d{2}(?::\d{2})?"
-#: What the merge takes for a separator of times only, on normalised text.
-TIME_ONLY = (
-    rf"(?U)\A(?:\d{{4}}年\d{{1,2}}月\d{{1,2}}日|\d{{1,2}}月\d{{1,2}}日(?:\s*{_CLOCK})?|{_CLOCK}|(?:星期|周)[一二三四五六日天](?:\s*{_CLOCK})?"
-    rf"|(?:昨天|今天|前天)(?:\s*\d{{1,2}}:\d{{2}})?|(?:下午|上午|中午|凌晨|傍晚|晚间|早上|早晨)\s*{_CLOCK}|(?:AM|PM)\s*{_CLOCK}"
-    r"|(?=.*(?:[年月日周:/.\-]|星期))[0-9\s:./\-年月日星期周]+)\z"
-)
+from chatloom.functions.keys import content_key, merge_key, second, stable_key
+from chatloom.functions.times import read_stamp
+from chatloom.schema import MERGE_FIRST, SYSTEM_SENDER
 
+from .dedup import first_wins, two_keys
+from .filters import without_times
 
-def norm_text(text: Column) -> Column:
-    """Without zero-width and direction characters, white space as single spaces; null as empty."""
-    c = F.regexp_replace(F.coalesce(text, F.lit("")), "[​-‏]", "")
-    c = F.regexp_replace(F.translate(c, "：", ":"), r"(?U)^\s+|\s+$", "")
-    return F.regexp_replace(c, r"(?U)\s+", " ")
 
+def _as_text(df: DataFrame) -> bool:
+    return dict(df.dtypes)["timestamp"] == "string"
 
-def stable_key(id_: Column, sender: Column, timestamp: Column, content: Column) -> Column:
-    """``id:`` and the trimmed id, else sender, time to the second and content.
 
-    A null id counts as empty; the reference makes it the text ``None``, by which all rows without an id would be one.
+def key_of(df: DataFrame, null_id: str = "") -> Column:
+    """The merge's key of rows whose ``timestamp`` is a time or, as in exports, a text."""
+    return merge_key(F.col("id"), F.col("sender"), second(F.col("timestamp"), _as_text(df)), F.col("content"), null_id)
+
+
+def in_order(df: DataFrame) -> DataFrame:
+    """Rows by time to the second and then ``seq``; times that can't be read come last, by their text, null as empty."""
+    stamp = second(F.col("timestamp"), _as_text(df))
+    return df.orderBy(read_stamp(stamp).isNull(), stamp, "seq")
+
+
+def merge(df: DataFrame, exclude_time_only: bool = False, aggressive: bool = False, null_id: str = "") -> DataFrame:
+    """The first row by ``seq`` of each key, in order.
+
+    ``aggressive`` drops a row too if a kept one has its sender and content. Null texts and ids count as empty.
     """
-    trimmed = F.regexp_replace(F.coalesce(id_, F.lit("")), r"(?U)^\s+|\s+$", "")
-    second = F.coalesce(F.date_format(timestamp, "yyyy-MM-dd'T'HH:mm:ss"), F.lit(""))
-    return F.when(trimmed != "", F.concat(F.lit("id:"), trimmed)).otherwise(F.concat_ws("|", F.lower(norm_text(sender)), second, norm_text(content)))
+    rows = without_times(df, merge=True) if exclude_time_only else df
+    key = key_of(df, null_id)
+    kept = two_keys(rows, key, content_key(F.col("sender"), F.col("content"))) if aggressive else first_wins(rows, key)
+    return in_order(kept)
 
 
-def merge(messages: DataFrame, exclude_time_only: bool = False) -> DataFrame:
-    """The first row by ``seq`` of each stable key, by time to the second and then ``seq``; null times come last."""
-    rows = messages.filter(~norm_text(F.col("content")).rlike(TIME_ONLY)) if exclude_time_only else messages
-    key = stable_key(F.col("id"), F.col("sender"), F.col("timestamp"), F.col("content"))
-    first = F.row_number().over(Window.partitionBy("_key").orderBy("seq"))
-    kept = rows.withColumn("_key", key).withColumn("_n", first).filter("_n = 1").drop("_key", "_n")
-    return kept.orderBy(F.date_trunc("second", "timestamp").asc_nulls_last(), "seq")
+def merge_columns(df: DataFrame) -> list[str]:
+    """Columns of a merged CSV: the common ones first, the others in alphabetical order."""
+    return [c for c in MERGE_FIRST if c in df.columns] + sorted(set(df.columns) - set(MERGE_FIRST))
+
 
+def union(frames: list[DataFrame]) -> DataFrame:
+    """All rows of frames whose columns may differ; a missing column is null."""
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f, allowMissingColumns=True)
+    return out
 
-def sender_counts(messages: DataFrame) -> DataFrame:
-    """``own, other, total``: rows of 我, of 对方, and all."""
-    count = lambda who: F.count_if(F.coalesce(F.col("sender") == who, F.lit(False)))
-    return messages.agg(count("我").alias("own"), count("对方").alias("other"), F.count(F.lit(1)).alias("total"))
 
+def scans_together(scans: list[DataFrame]) -> DataFrame:
+    """Repeated scans as one: the first row of each stable key."""
+    rows = union(scans)
+    return first_wins(rows, stable_key(F.col("id"), F.col("sender"), F.col("timestamp"), F.col("content")))
 
-def session_summary(messages: DataFrame) -> DataFrame:
-    """``span, longest_streak, longest_gap`` in days over the distinct days with messages; zeros without rows."""
-    days = messages.filter("timestamp is not null").select(F.to_date("timestamp").alias("d")).distinct()
-    order = Window.orderBy("d")  # days only: one row each
-    islands = days.withColumn("gap", F.datediff("d", F.lag("d").over(order))).withColumn("k", F.date_sub("d", F.row_number().over(order)))
-    runs = islands.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.max(F.when(F.col("gap") != 1, F.col("gap") - 1)).alias("gap"), F.min("d").alias("lo"), F.max("d").alias("hi"))
-    whole = lambda c: F.coalesce(c, F.lit(0)).cast("int")
-    return runs.agg(whole(F.datediff(F.max("hi"), F.min("lo")) + 1).alias("span"), whole(F.max("n")).alias("longest_streak"), whole(F.max("gap")).alias("longest_gap"))
+
+def chats_together(df: DataFrame, chat: Column, chat_order: Column, started: Column) -> DataFrame:
+    """Several chats as one list: before each chat a system message that names it, then its rows without those whose
+    stable key came before. Columns: ``chat_ord, place`` (0 for the marker, else ``seq``) and those of the messages."""
+    rows = df.withColumns({"_chat": chat, "chat_ord": chat_order})
+    heads = rows.groupBy("_chat", "chat_ord").agg(F.min(started).alias("timestamp"))
+    title = F.concat(F.lit("=== 会话："), F.coalesce("_chat", F.lit("")), F.lit(" ==="))
+    marks = heads.select(
+        "chat_ord", F.lit(0).cast("bigint").alias("place"), F.concat(F.lit("SYS-"), F.coalesce("_chat", F.lit("")), F.lit("-"), F.unix_seconds(F.col("timestamp").cast("timestamp"))).alias("id"),
+        F.lit(SYSTEM_SENDER).alias("sender"), title.alias("content"), F.lit("system").alias("message_type"), "timestamp", F.lit(1.0).alias("confidence_score"), title.alias("raw_ocr_text"),
+    )
+    both = marks.unionByName(rows.withColumn("place", F.col("seq")).drop("_chat"), allowMissingColumns=True)
+    key = stable_key(F.col("id"), F.col("sender"), F.col("timestamp"), F.col("content"))
+    return first_wins(both, key, F.struct("chat_ord", "place"))
