@@ -77,7 +77,7 @@ def _parsed(spark, d):
 
 @query()
 def parse_messages(spark, d):
-    """Whole screenshots to messages; tested against a plain program in ``tests/test_parse.py``."""
+    """Whole screenshots to messages; ``tests/test_parse.py`` holds known cases."""
     rows = _parsed(spark, d)
     return rows.select("id", "sender", "content", "message_type", times.iso(F.col("timestamp")).alias("timestamp"), F.round("confidence_score", 6).alias("confidence_score"), "raw_ocr_text", F.col("share_card.title").alias("title"), F.col("quote_meta.quoted_text").alias("quoted_text"))
 

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from chatloom.functions.times import scan_time
 from chatloom.operators.privacy import text_lines
+from chatloom.runtime import scratch_path
 from chatloom.schema import EXPORT
 
 INDEX_NAME = ".dedup_index.json"
@@ -47,6 +48,11 @@ def _plain(path: str) -> str:
     return path.replace("file:///", "file:/", 1) if path.startswith("file:///") else path
 
 
+def _decoded(name: str) -> Column:
+    """A part of the files' metadata, without the escapes of an address."""
+    return F.url_decode(F.replace(F.col(f"_metadata.{name}"), F.lit("+"), F.lit("%2B")))
+
+
 def read_exports(spark: SparkSession, inputs: list[str], schema: str = EXPORT) -> DataFrame:
     """Messages of exported JSON arrays, with ``src_file, file_ord`` (place of the path) and ``seq`` (file and place in it).
 
@@ -57,7 +63,7 @@ def read_exports(spark: SparkSession, inputs: list[str], schema: str = EXPORT) -
     if not files:
         return spark.createDataFrame([], f"{schema}, src_file string, file_ord int, seq bigint")
     places = spark.createDataFrame(list(zip(files, range(len(files)))), "_path string, file_ord int")
-    raw = spark.read.text(files, wholetext=True).select("value", F.url_decode(F.regexp_replace(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")), "^file:///", "file:/")).alias("_path"), F.col("_metadata.file_name").alias("src_file"))
+    raw = spark.read.text(files, wholetext=True).select("value", F.regexp_replace(_decoded("file_path"), "^file:///", "file:/").alias("_path"), _decoded("file_name").alias("src_file"))
     items = F.from_json(F.when(F.col("value").rlike(r"\A\x{feff}?\s*\["), F.col("value")), "array<string>")
     rows = raw.join(places, "_path").select("src_file", "file_ord", F.posexplode(items).alias("_p", "_item")).filter(F.col("_item").startswith("{"))
     rows = rows.withColumn("_m", F.from_json("_item", schema)).filter("_m is not null")
@@ -66,8 +72,8 @@ def read_exports(spark: SparkSession, inputs: list[str], schema: str = EXPORT) -
 
 def read_lines(spark: SparkSession, paths: str | list[str], schema: str = EXPORT) -> DataFrame:
     """Messages of JSON Lines, as written by appending; broken lines are dropped."""
-    rows = spark.read.schema(f"{schema}, _broken string").option("columnNameOfCorruptRecord", "_broken").json(paths)
-    return rows.filter(F.col("_broken").isNull()).drop("_broken")
+    parsed = F.from_json("value", f"{schema}, _broken string", {"columnNameOfCorruptRecord": "_broken"})
+    return spark.read.text(paths).select(parsed.alias("m")).filter("m._broken is null").select("m.*").drop("_broken")
 
 
 def read_csv(spark: SparkSession, paths: str | list[str], schema: str) -> DataFrame:
@@ -83,6 +89,10 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
         return empty
     if fs.getFileStatus(p).isDirectory():
         return spark.read.schema("key string").parquet(path)
+    if p.getName()[0] in "._":  # readers pass over hidden files
+        copy, there = hadoop(spark, scratch_path(spark, "index"))
+        spark.sparkContext._jvm.org.apache.hadoop.fs.FileUtil.copy(fs, p, there, copy, False, spark.sparkContext._jsc.hadoopConfiguration())
+        path = copy.toString()
     keys = F.from_json("value", "array<string>")
     return spark.read.text(path, wholetext=True).select(F.explode(F.when(F.col("value").rlike(r"\A\s*\["), keys)).alias("key")).filter("key is not null").distinct()
 
@@ -91,7 +101,7 @@ def read_text(spark: SparkSession, base: str, endings: tuple[str, ...] = TEXT_EN
     """``file_path, line_no, line`` of the text files below a folder: those with one of the endings, outside the skipped
     folders and files. ``file_path`` is relative to the folder; bytes that are no UTF-8 are replaced."""
     root = _plain(str(hadoop(spark, base)[1].getFileStatus(hadoop(spark, base)[0]).getPath()))
-    path = F.regexp_replace(F.col("_metadata.file_path"), "^file:///", "file:/")
+    path = F.regexp_replace(_decoded("file_path"), "^file:///", "file:/")
     inner = F.substring(path, len(root) + 2, F.length(path))
     raw = spark.read.option("recursiveFileLookup", True).text(base, wholetext=True).select("value", inner.alias("file_path"))
     folders = F.slice(F.split("file_path", "/"), 1, F.size(F.split("file_path", "/")) - 1)
