@@ -22,10 +22,11 @@ def key_of(df: DataFrame, null_id: str = "") -> Column:
     return merge_key(F.col("id"), F.col("sender"), second(F.col("timestamp"), _as_text(df)), F.col("content"), null_id)
 
 
-def in_order(df: DataFrame) -> DataFrame:
-    """Rows by time to the second and then ``seq``; times that can't be read come last, by their text, null as empty."""
+def order_of(df: DataFrame) -> list[Column]:
+    """What merged rows are ordered by: time to the second and then ``seq``; times that can't be read come last, by their
+    text, null as empty."""
     stamp = second(F.col("timestamp"), _as_text(df))
-    return df.orderBy(read_stamp(stamp).isNull(), stamp, "seq")
+    return [read_stamp(stamp).isNull(), stamp, F.col("seq")]
 
 
 def merge(df: DataFrame, exclude_time_only: bool = False, aggressive: bool = False, null_id: str = "") -> DataFrame:
@@ -36,7 +37,7 @@ def merge(df: DataFrame, exclude_time_only: bool = False, aggressive: bool = Fal
     rows = without_times(df, merge=True) if exclude_time_only else df
     key = key_of(df, null_id)
     kept = two_keys(rows, key, content_key(F.col("sender"), F.col("content"))) if aggressive else first_wins(rows, key)
-    return in_order(kept)
+    return kept.orderBy(*order_of(kept))
 
 
 def merge_columns(df: DataFrame) -> list[str]:

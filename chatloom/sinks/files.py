@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from chatloom.functions.keys import loose_key, stable_key
 from chatloom.operators.dedup import first_wins, two_keys, unseen
 from chatloom.operators.filters import output_filter
-from chatloom.operators.merge import merge_columns
+from chatloom.operators.merge import merge_columns, order_of
 from chatloom.schema import CSV_APPEND_FIELDS, CSV_FIELDS, FORMATS
 from chatloom.sources.files import hadoop, read_index
 from chatloom.sources.settings import Settings
@@ -153,9 +153,10 @@ def save_merged(df: DataFrame, directory: str, prefix: str, formats: tuple[str,
         write_csv(out, f"{base}.csv", merge_columns(out), single)
         paths.append(f"{base}.csv")
     if "md" in formats:
-        body = _parts(df, single).select(lines.merge_line(stamp).alias("value"))
-        head = df.sparkSession.createDataFrame([(f"{lines.MERGE_TITLE}\n",)], "value string")
-        _parts(head.union(body), single).write.text(f"{base}.md")
+        place = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order_of(df))])
+        body = df.select(place.alias("_o"), lines.merge_line(stamp).alias("value"))
+        head = df.sparkSession.range(1).select(F.lit(None).cast(body.schema["_o"].dataType).alias("_o"), F.lit(f"{lines.MERGE_TITLE}\n").alias("value"))
+        _parts(head.unionByName(body).orderBy(F.col("_o").asc_nulls_first()), single).select("value").write.text(f"{base}.md")
         paths.append(f"{base}.md")
     return paths
 
