@@ -84,14 +84,15 @@ def p9_measured(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (p1_found, p1_masked, p2_found, p2_groups, p3_found, p3_unified, p4_found, p4_paragraphs, p5_found, p5_collapsed, p6_found, p7_ids, p8_mixture, p8_shares, p9_found, p9_measured)}
 
 _CANON = "regexp_replace(lower(coalesce({}, '')), '[^\\p{{L}}\\p{{N}}]', '', 'g')"
-_BODY = (
-    "case when lower(coalesce(message_type, '')) = 'share' then 's:' || coalesce((select string_agg(x, chr(10) order by x) from "
-    "(select regexp_replace(lower(u), '[^\\p{L}\\p{N}]', '', 'g') as x from unnest(string_split_regex(coalesce(content, ''), '\\r\\n|[\\n\\r]')) as t(u)) where x <> ''), '') "
-    "else 't:' || " + _CANON.format("content") + " end"
+_SORTED = "(select string_agg(x, chr(10) order by x) from (select regexp_replace(lower(u), '[^\\p{L}\\p{N}]', '', 'g') as x from unnest(string_split_regex(coalesce(content, ''), '\\r\\n|[\\n\\r]')) as t(u)) where x <> '')"
+# copies share the plain form, or, both being shares, the sorted lines; lowest rows go from one form to the other
+_COPIES = (
+    f"with k as (select *, {_CANON.format('sender')} || '|' || coalesce(strftime(timestamp, '%Y-%m-%d %H:%M:%S'), '-') as w, {_CANON.format('content')} as b, case when lower(message_type) = 'share' then {_SORTED} end as l from messages), "
+    "k1 as (select *, min(seq) over (partition by w, b) as m1 from k), k2 as (select *, case when l is null then m1 else min(m1) over (partition by w, l) end as m2 from k1), "
+    "k3 as (select *, min(m2) over (partition by w, b) as m3 from k2), k4 as (select *, case when l is null then m3 else min(m3) over (partition by w, l) end as m4 from k3), g as (select *, min(m4) over (partition by w, b) as lowest from k4) "
 )
 
 SQL = {
-    "p5_found": f"with k as (select seq, {_CANON.format('sender')} as s, strftime(timestamp, '%Y-%m-%d %H:%M:%S') as t, {_BODY} as b from messages), "
-    "m as (select s, t, b, min(seq) as lowest from k group by all) "
-    "select m.lowest as seq_a, k.seq as seq_b from k join m on k.s = m.s and k.t is not distinct from m.t and k.b = m.b where k.seq <> m.lowest",
+    "p5_found": f"{_COPIES} select lowest as seq_a, seq as seq_b from g where seq <> lowest",
+    "p5_collapsed": f"{_COPIES}, n as (select lowest, count(*) as copies from g group by lowest) select seq, sender, content, copies from g join n using (lowest) where seq = lowest",
 }
