@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chatloom.runtime import materialise
+from chatloom.runtime import discard, materialise
 
 
 def first_wins(df: DataFrame, key: Column, order: str | Column = "seq") -> DataFrame:
@@ -47,12 +47,14 @@ def two_keys(df: DataFrame, key: Column, second: Column, order: str = "seq") ->
     live = materialise(keyed.groupBy("_k1", "_k2").agg(F.min("_o").alias("_o")), "pairs")
     kept = None
     while True:
+        before = live
         firsts = [live.groupBy(k).agg(F.min("_o").alias("_o")).select("_o") for k in ("_k1", "_k2")]
         # joined by the order, which no key can crowd
         now = materialise(live.join(firsts[0], "_o", "left_semi").join(firsts[1], "_o", "left_semi"), "kept")
         kept = now.select("_o") if kept is None else kept.union(now.select("_o"))
         live = live.join(now.select("_k1"), "_k1", "left_anti").join(now.select("_k2"), "_k2", "left_anti")
-        live = materialise(live, "live")
+        done, live = before, materialise(live, "live")
+        discard(done)
         if live.isEmpty():
             break
     return df.join(kept.withColumnRenamed("_o", order), order, "left_semi")

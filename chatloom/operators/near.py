@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from chatloom.functions import boxes
 from chatloom.functions.boxes import hamming
 from chatloom.functions.text import strip, text
-from chatloom.runtime import materialise
+from chatloom.runtime import discard, materialise
 
 
 def _bands(within: int, rows: int, bits: int = 64) -> int:
@@ -82,7 +82,8 @@ def first_of_near(hashes: DataFrame, ident: str, value: str, within: int = 5) ->
         gone = materialise(live.join(kept, "a", "left_semi").select("b").distinct(), "gone")
         dropped = gone if dropped is None else dropped.union(gone)
         ends = gone.select(F.col("b").alias("a"))
-        live = materialise(live.join(gone, "b", "left_anti").join(ends, "a", "left_anti"), "live")
+        done, live = live, materialise(live.join(gone, "b", "left_anti").join(ends, "a", "left_anti"), "live")
+        discard(done)
     return firsts if dropped is None else firsts.join(dropped.select(F.col("b").alias(ident)), ident, "left_anti")
 
 

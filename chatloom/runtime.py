@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import os
 import tempfile
 import uuid
 
@@ -56,7 +55,17 @@ def materialise(df: DataFrame, name: str = "step") -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(df: DataFrame | None) -> None:
+    """Delete the table of a ``materialise`` that nothing reads any more, so that rounds don't fill the folder."""
+    path = getattr(df, "written_to", None)
+    if path:
+        hadoop = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
 def load(spark: SparkSession, sf_dir: str, *names: str):
@@ -69,10 +78,6 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def data_file(path: str) -> bool:
-    return os.path.exists(path)
-
-
 def group_lowest(rows: DataFrame, keys: list[str], order: str, lowest: str, count: str, hot_groups: int = 1000) -> DataFrame:
     """Rows of the groups with more than one row, each with its group's lowest ``order`` and size.
 
@@ -87,6 +92,24 @@ def group_lowest(rows: DataFrame, keys: list[str], order: str, lowest: str, coun
     return rows.join(F.broadcast(hot), keys).unionByName(rows.join(sizes.filter(F.col(count) <= limit), keys))
 
 
+def skew_join(rows: DataFrame, table: DataFrame, key: str, how: str = "inner", hot_keys: int = 1000) -> DataFrame:
+    """``rows`` joined with a table that has one row for each key, however the rows crowd on some keys.
+
+    Keys that hold more than 1/``hot_keys`` of the rows are joined by broadcast, and there can be no more than
+    ``hot_keys`` of them; the others by shuffle. ``how`` is inner, left, left_semi or left_anti. ``rows`` is read twice
+    and should be a written table; null keys match nothing.
+    """
+    sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    total = rows.agg(F.count(F.lit(1))).first()[0]
+    hot = [r[0] for r in sizes.filter((F.col("_n") > max(total // hot_keys, 1000)) & F.col(key).isNotNull()).select(key).collect()]
+    if not hot:
+        return rows.join(table, key, how)
+    names = rows.sparkSession.createDataFrame([(h,) for h in hot], rows.select(key).schema)
+    crowded = F.broadcast(table.join(F.broadcast(names), key, "left_semi"))
+    one = rows.join(F.broadcast(names), key, "left_semi").join(crowded, key, how)
+    return one.unionByName(rows.join(F.broadcast(names), key, "left_anti").join(table, key, how))
+
+
 def bounded_sample(rows: DataFrame, key: str, about: int) -> DataFrame:
     """About ``about`` of the rows, or all of fewer, chosen by a hash of ``key``: the same ones in every run.
 
