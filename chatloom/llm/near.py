@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from chatloom.runtime import blank, group_lowest, materialise
+from chatloom.runtime import blank, discard, group_lowest, materialise, skew_join
 
 from .exact import letters_digits
 
@@ -26,16 +26,17 @@ def message_text(content: Column, raw: Column) -> Column:
 
 
 def classes(texts: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-    """Of ``seq, key, text``: the members ``seq, digest``, and the first row of each class ``rep, digest, size, text``."""
+    """Of ``seq, key, text``: all rows ``seq, digest``, and the first row of each class of copies ``rep, key, text, size``."""
     rows = materialise(texts.withColumn("digest", F.unhex(F.md5(F.concat_ws("\x1f", "key", "text")))), name)
     first = rows.groupBy("digest").agg(F.min("seq").alias("rep"), F.count(F.lit(1)).alias("size"))
     # joined on seq, which no hot class can crowd
-    reps = first.join(rows.select(F.col("seq").alias("rep"), "key", "text"), "rep")
+    reps = first.drop("digest").join(rows.select(F.col("seq").alias("rep"), "key", "text"), "rep")
     return rows.select("seq", "digest"), materialise(reps, f"{name}-reps")
 
 
 def band_keys(reps: DataFrame, ident: str = "rep", width: int = WIDTH, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """``ident, runs, key``: a row for each band of each text; ``runs`` is the number of its distinct shingles."""
+    import numpy as np
     import pyarrow as pa
 
     def run(batches):
@@ -47,8 +48,6 @@ def band_keys(reps: DataFrame, ident: str = "rep", width: int = WIDTH, bands: in
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 owner, element, _ = shingles(texts, width)
                 keys = fold(probminhash(owner, element, None, len(texts), bands * rows), rows).view("int64")
-                import numpy as np
-
                 sizes = np.bincount(owner, minlength=len(texts)).astype("int32")
                 some = sizes > 0
                 ids = part.column(0).to_numpy()[some]
@@ -82,7 +81,8 @@ def similarity(a: Column, b: Column, width: int = WIDTH) -> Column:
     def run(left: pa.Array, right: pa.Array) -> pa.Array:
         from .signatures import jaccard
 
-        return pa.array(jaccard(zip(left.to_pylist(), right.to_pylist()), width), pa.float64())
+        # rows come in the order of the right side, whose shingles are kept from one to the next
+        return pa.array(jaccard(zip(right.to_pylist(), left.to_pylist()), width), pa.float64())
 
     run.__annotations__ = {"left": pa.Array, "right": pa.Array, "return": pa.Array}
     return F.arrow_udf(run, DoubleType())(a, b)
@@ -106,7 +106,7 @@ def texts_of(messages: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
 
 
 def links(messages: DataFrame, least: float = THRESHOLD) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Members ``seq, digest``, first rows ``rep, digest, size, text``, and links ``a, b, similarity`` between first rows."""
+    """Rows ``seq, digest``, first rows ``rep, size``, and links ``a, b, similarity`` between first rows."""
     members, reps = classes(texts_of(messages), "texts")
     pairs = candidates(band_keys(reps), least)
     found = verified(pairs, reps.select(F.col("rep").alias("a"), F.col("text").alias("left_text")), reps.select(F.col("rep").alias("b"), F.col("text").alias("right_text")), least)
@@ -116,40 +116,51 @@ def links(messages: DataFrame, least: float = THRESHOLD) -> tuple[DataFrame, Dat
 def alike_pairs(messages: DataFrame, least: float = THRESHOLD, expand: int = EXPAND) -> DataFrame:
     """``seq_a, seq_b`` of all pairs of messages that are alike.
 
-    Links between different texts are taken over by their copies, and copies are linked with each other, in classes of
-    up to ``expand`` copies. A larger class stands as its first row, and its copies as links to that row.
+    Copies of one text are linked with each other, and links between different texts hold for all their copies. A class
+    of more than ``expand`` copies stands, for links among its own copies and with other such classes, as its first row,
+    and its copies as links to that row; no link between different texts is lost by this.
     """
     members, reps, found = links(messages, least)
-    copied = members.join(reps.filter("size > 1"), "digest").select("rep", "size", "seq")
-    small = materialise(copied.filter(F.col("size") <= expand).select("rep", "seq"), "copies")
-    star = copied.filter((F.col("size") > expand) & (F.col("seq") != F.col("rep"))).select(F.col("rep").alias("seq_a"), F.col("seq").alias("seq_b"))
+    copied = materialise(group_lowest(members, ["digest"], "seq", "rep", "size").select("rep", "size", "seq"), "copies")
+    large = F.col("size") > expand
+    star = copied.filter(large & (F.col("seq") != F.col("rep"))).select(F.col("rep").alias("seq_a"), F.col("seq").alias("seq_b"))
+    small = copied.filter(~large).select("rep", "seq")
     inside = small.alias("x").join(small.alias("y"), F.expr("x.rep = y.rep and x.seq < y.seq")).select(F.col("x.seq").alias("seq_a"), F.col("y.seq").alias("seq_b"))
-    one = small.select(F.col("rep").alias("a"), F.col("seq").alias("sa"))
-    two = small.select(F.col("rep").alias("b"), F.col("seq").alias("sb"))
-    across = found.select("a", "b").join(one, "a", "left").join(two, "b", "left").select(F.coalesce("sa", "a").alias("x"), F.coalesce("sb", "b").alias("y"))
-    across = across.select(F.least("x", "y").alias("seq_a"), F.greatest("x", "y").alias("seq_b"))
-    return across.unionByName(inside).unionByName(star)
+    crowd = reps.filter(large).select("rep")
+    sides = found.select("a", "b").join(crowd.select(F.col("rep").alias("a"), F.lit(True).alias("la")), "a", "left").join(crowd.select(F.col("rep").alias("b"), F.lit(True).alias("lb")), "b", "left")
+    sides = sides.withColumn("both", F.coalesce(F.col("la") & F.col("lb"), F.lit(False)))
+    one, two = (copied.select(F.col("rep").alias(k), F.col("seq").alias(f"s{k}")) for k in "ab")
+    across = sides.filter("not both").join(one, "a", "left").join(two, "b", "left").select(F.coalesce("sa", "a").alias("x"), F.coalesce("sb", "b").alias("y"))
+    across = across.unionByName(sides.filter("both").select(F.col("a").alias("x"), F.col("b").alias("y")))
+    return across.select(F.least("x", "y").alias("seq_a"), F.greatest("x", "y").alias("seq_b")).unionByName(inside).unionByName(star)
 
 
 def groups(messages: DataFrame, least: float = THRESHOLD, rounds: int = 50) -> DataFrame:
-    """``seq, group``: every compared message with the lowest ``seq`` it is connected with; alone, its own.
+    """``seq, group, links``: every compared message with the lowest ``seq`` it is connected with (alone, its own), and
+    the number of messages it is alike with.
 
     Labels spread along links until none changes; each round also jumps to the label of the label, so the rounds grow
-    with the logarithm of the longest chain. Each round is a written table.
+    with the logarithm of the longest chain. Each round is a written table, of which the last two are kept.
     """
     members, reps, found = links(messages, least)
     edges = materialise(found.select("a", "b").union(found.select("b", "a")), "edges")
     labels = materialise(edges.select(F.col("a").alias("v")).distinct().withColumn("g", F.col("v")), "labels")
     for _ in range(rounds):
-        near = edges.join(labels.select(F.col("v").alias("b"), "g"), "b").groupBy(F.col("a").alias("v")).agg(F.min("g").alias("m"))
-        low = labels.join(near, "v").select("v", F.least("g", "m").alias("g2"), "g")
-        jump = low.join(low.select(F.col("v").alias("g2"), F.col("g2").alias("far")), "g2", "left")
+        near = skew_join(edges, labels.select(F.col("v").alias("b"), "g"), "b").groupBy(F.col("a").alias("v")).agg(F.min("g").alias("m"))
+        low = materialise(labels.join(near, "v").select("v", F.least("g", "m").alias("g2"), "g"), "low")
+        jump = skew_join(low, low.select(F.col("v").alias("g2"), F.col("g2").alias("far")), "g2", "left")
         new = materialise(jump.select("v", F.least("g2", F.coalesce("far", "g2")).alias("g"), F.col("g").alias("old")), "labels")
         changed = new.filter("g <> old").limit(1).count()
-        labels = new.select("v", "g")
+        discard(low)
+        discard(labels)
+        labels = new
         if not changed:
             break
     else:
         raise RuntimeError("labels still change; raise the number of rounds")
-    first = reps.join(labels, reps["rep"] == labels["v"], "left").select("digest", F.coalesce("g", "rep").alias("group"))
-    return members.join(first, "digest").select("seq", "group")
+    copied = group_lowest(members, ["digest"], "seq", "rep", "size").select("seq", F.col("rep").alias("first"))
+    rows = materialise(members.join(copied, "seq", "left").select("seq", F.coalesce("first", "seq").alias("rep")), "rows")
+    degree = edges.join(reps.select(F.col("rep").alias("b"), "size"), "b").groupBy(F.col("a").alias("rep")).agg(F.sum("size").alias("others"))
+    known = reps.join(degree, "rep", "left").join(labels.select(F.col("v").alias("rep"), "g"), "rep", "left")
+    known = known.select("rep", F.coalesce("g", "rep").alias("group"), (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("links"))
+    return skew_join(rows, known, "rep").select("seq", "group", "links")

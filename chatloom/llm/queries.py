@@ -39,6 +39,11 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.repeats(messages, incoming)
 
 
+def p6_accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    messages, incoming = load(spark, sf_dir, "messages", "incoming")
+    return history.accepted(messages, incoming).select("seq", "sender", "content")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scanned.noises(load(spark, sf_dir, "messages"))
 
@@ -81,7 +86,7 @@ def p9_measured(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p9_found(spark, sf_dir).groupBy("subject").agg(F.count(F.lit(1)).alias("documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_masked, p2_found, p2_groups, p3_found, p3_unified, p4_found, p4_paragraphs, p5_found, p5_collapsed, p6_found, p7_ids, p8_mixture, p8_shares, p9_found, p9_measured)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_masked, p2_found, p2_groups, p3_found, p3_unified, p4_found, p4_paragraphs, p5_found, p5_collapsed, p6_found, p6_accepted, p7_ids, p8_mixture, p8_shares, p9_found, p9_measured)}
 
 _CANON = "regexp_replace(lower(coalesce({}, '')), '[^\\p{{L}}\\p{{N}}]', '', 'g')"
 _SORTED = "(select string_agg(x, chr(10) order by x) from (select regexp_replace(lower(u), '[^\\p{L}\\p{N}]', '', 'g') as x from unnest(string_split_regex(coalesce(content, ''), '\\r\\n|[\\n\\r]')) as t(u)) where x <> '')"
@@ -92,7 +97,32 @@ _COPIES = (
     "k3 as (select *, min(m2) over (partition by w, b) as m3 from k2), k4 as (select *, case when l is null then m3 else min(m3) over (partition by w, l) end as m4 from k3), g as (select *, min(m4) over (partition by w, b) as lowest from k4) "
 )
 
+_ALIKE_TEXT = _CANON.format("case when regexp_matches(coalesce(content, ''), '[^\\s\\x{{85}}\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]') then content else raw_ocr_text end".replace("{{", "{").replace("}}", "}"))
+
+
+def _alike(rows: str, same: str) -> str:
+    """CTEs up to ``pairs (a, b)``, a < b, of rows ``seq, who, t`` whose texts are alike; ``same`` limits them."""
+    return (
+        f"c as (select who, t, min(seq) as rep, list(seq) as seqs from {rows} where length(t) >= 100 group by all), g as (select rep, who, unnest(list_distinct(list_transform(range(1, length(t) - 3), lambda i: substring(t, i, 5)))) as x from c), "
+        f"n as (select rep, count(*) as n from g group by 1), m as (select a.rep as a, b.rep as b, count(*) as k from g a join g b on a.x = b.x and a.rep < b.rep {same} group by 1, 2), "
+        "l as (select a, b from m join n na on na.rep = a join n nb on nb.rep = b where k >= 0.6 * (na.n + nb.n - k)), joined as (select a, b from l union all select rep, rep from c), "
+        "e as (select unnest(ca.seqs) as x, cb.seqs as ys from joined join c ca on ca.rep = a join c cb on cb.rep = b), f as (select x, unnest(ys) as y from e), pairs as (select distinct least(x, y) as a, greatest(x, y) as b from f where x <> y)"
+    )
+
+
+_P2 = f"with r as (select seq, '' as who, {_ALIKE_TEXT} as t from messages), {_alike('r', '')}"
+_P6 = (
+    f"with r as (select seq, nullif(id, '') as id, case when sender is not null then {_CANON.format('sender')} end as who, {_ALIKE_TEXT} as t, batch from (select seq, id, sender, content, raw_ocr_text, false as batch from messages union all select seq, id, sender, content, raw_ocr_text, true from incoming)), "
+    f"s as (select * from r where who is not null), {_alike('s', 'and a.who = b.who')}, i as (select id, min(seq) as a from r where trim(id) <> '' group by id), "
+    "u as (select a, b from pairs union all select i.a, r.seq from r join i using (id) where i.a < r.seq), found as (select min(a) as seq_a, b as seq_b from u join r on r.seq = b where r.batch group by b)"
+)
+
 SQL = {
+    "p2_found": f"{_P2} select a as seq_a, b as seq_b from pairs",
+    "p2_groups": f"{_P2.replace('with r', 'with recursive r', 1)}, q as (select a, b from pairs union all select b, a from pairs), z(v, g) as (select seq, seq from r where length(t) >= 100 union select q.b, z.g from z join q on q.a = z.v) "
+    "select v as seq, min(g) as \"group\", (select count(*) from q where q.a = v) as links from z group by v",
+    "p6_found": f"{_P6} select seq_a, seq_b from found",
+    "p6_accepted": f"{_P6} select seq, sender, content from incoming where seq not in (select seq_b from found)",
     "p5_found": f"{_COPIES} select lowest as seq_a, seq as seq_b from g where seq <> lowest",
     "p5_collapsed": f"{_COPIES}, n as (select lowest, count(*) as copies from g group by lowest) select seq, sender, content, copies from g join n using (lowest) where seq = lowest",
 }

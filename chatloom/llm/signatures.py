@@ -50,7 +50,7 @@ def probminhash(owner: np.ndarray, element: np.ndarray, weight: np.ndarray | Non
     round_no = 0
     while len(owner):
         round_no += 1
-        r = mix(element + _U(round_no) * _U(0x9E3779B97F4A7C15))
+        r = mix(element + np.full(1, round_no, np.uint64) * _U(0x9E3779B97F4A7C15))
         step = -np.log(((r >> _U(24)).astype(float) + 1.0) / float(1 << 40))
         clock = clock + (step if rate is None else step / rate)
         slot = owner * registers + ((r & _U(0xFFFFFF)) % _U(registers)).astype(np.int64)
@@ -80,7 +80,7 @@ def runs(text: str, width: int) -> set[str]:
 
 
 def jaccard(pairs, width: int) -> list[float]:
-    """Exact similarity of pairs of texts; equal neighbours on the left are cut once. Two texts without runs have 0."""
+    """Exact similarity of pairs of texts; equal neighbours on the first side are cut once. Two texts without runs have 0."""
     out, last, left = [], None, set()
     for a, b in pairs:
         if a != last:
