@@ -7,17 +7,21 @@ from pyspark.sql import functions as F
 
 from chatloom.runtime import load
 
-from . import encode, exact, history, mixing, near, personal, scanned, subjects, unify
+from . import encode, exact, history, mixing, near, personal, scanned, subjects, surrogates, unify
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return personal.found(load(spark, sf_dir, "messages"))
+    return surrogates.found(load(spark, sf_dir, "messages"))
 
 
 def p1_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal.mask(load(spark, sf_dir, "messages")).select("seq", "content")
 
 
+def p1_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.replaced(load(spark, sf_dir, "messages"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.alike_pairs(load(spark, sf_dir, "messages"))
 
@@ -86,7 +90,7 @@ def p9_measured(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p9_found(spark, sf_dir).groupBy("subject").agg(F.count(F.lit(1)).alias("documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_masked, p2_found, p2_groups, p3_found, p3_unified, p4_found, p4_paragraphs, p5_found, p5_collapsed, p6_found, p6_accepted, p7_ids, p8_mixture, p8_shares, p9_found, p9_measured)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_masked, p1_surrogates, p2_found, p2_groups, p3_found, p3_unified, p4_found, p4_paragraphs, p5_found, p5_collapsed, p6_found, p6_accepted, p7_ids, p8_mixture, p8_shares, p9_found, p9_measured)}
 
 _CANON = "regexp_replace(lower(coalesce({}, '')), '[^\\p{{L}}\\p{{N}}]', '', 'g')"
 _SORTED = "(select string_agg(x, chr(10) order by x) from (select regexp_replace(lower(u), '[^\\p{L}\\p{N}]', '', 'g') as x from unnest(string_split_regex(coalesce(content, ''), '\\r\\n|[\\n\\r]')) as t(u)) where x <> '')"
