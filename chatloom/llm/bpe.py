@@ -21,7 +21,8 @@ import regex
 #: Fixed value: the pattern that splits text before merging, as given with the public rank files.
 SPLIT_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 TOKENIZERS = os.environ.get("CHATLOOM_TOKENIZERS", "/opt/tokenizers")
-CACHE = 200_000
+#: Most entries of a memo, and the longest text kept in one; longer ones are made anew.
+CACHE, LONGEST = 200_000, 256
 
 
 def _printable_bytes() -> dict[str, int]:
@@ -64,7 +65,7 @@ class _Memo(dict):
 
     def __missing__(self, key):
         made = self.make(key)
-        if len(self) < CACHE:
+        if len(self) < CACHE and len(key) <= LONGEST:
             self[key] = made
         return made
 

@@ -75,7 +75,10 @@ def mixture(sizes: DataFrame, planned: DataFrame, seed: int = 17) -> DataFrame:
     rows = running_sum(rows, "source", ["tokens", "_tie", "doc_id"], "_each", "_upto")
     start = F.pmod(F.xxhash64("source", F.lit(seed)), F.lit(UNIT))
     upto = F.col("_upto") + start
-    copies = F.floor(upto / F.lit(float(UNIT))) - F.floor((upto - F.col("_each")) / F.lit(float(UNIT)))
+    # whole numbers throughout: sums of up to 9e9 expected copies of a source fit
+    whole = F.expr(f"_from div {UNIT}L"), F.expr(f"(_from - _each) div {UNIT}L")
+    rows = rows.withColumn("_from", upto)
+    copies = whole[0] - whole[1]
     return rows.select("doc_id", "source", "tokens", copies.cast("int").alias("copies")).filter("copies > 0")
 
 

@@ -82,6 +82,14 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(mixing.mixture(sizes, planned), planned)
 
 
+def p8_corpus_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A mixture as large as the corpus: sources that are too small stop at their cap."""
+    docs, targets = load(spark, sf_dir, "documents", "mix_targets")
+    sizes = mixing.sized(docs)
+    planned = mixing.plan(sizes, targets, sizes.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0])
+    return mixing.shares(mixing.mixture(sizes, planned), planned)
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subjects.about(*load(spark, sf_dir, "documents", "doc_labels", "subjects"))
 
@@ -90,7 +98,7 @@ def p9_measured(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p9_found(spark, sf_dir).groupBy("subject").agg(F.count(F.lit(1)).alias("documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_masked, p1_surrogates, p2_found, p2_groups, p3_found, p3_unified, p4_found, p4_paragraphs, p5_found, p5_collapsed, p6_found, p6_accepted, p7_ids, p8_mixture, p8_shares, p9_found, p9_measured)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_masked, p1_surrogates, p2_found, p2_groups, p3_found, p3_unified, p4_found, p4_paragraphs, p5_found, p5_collapsed, p6_found, p6_accepted, p7_ids, p8_mixture, p8_shares, p8_corpus_shares, p9_found, p9_measured)}
 
 _CANON = "regexp_replace(lower(coalesce({}, '')), '[^\\p{{L}}\\p{{N}}]', '', 'g')"
 _SORTED = "(select string_agg(x, chr(10) order by x) from (select regexp_replace(lower(u), '[^\\p{L}\\p{N}]', '', 'g') as x from unnest(string_split_regex(coalesce(content, ''), '\\r\\n|[\\n\\r]')) as t(u)) where x <> '')"

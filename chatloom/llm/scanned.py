@@ -1,8 +1,11 @@
 """Problem 4: noise of scanned pages - furniture removed, split words joined, misread characters edited.
 
-An averaged perceptron decides on each edit that the table of similar shapes proposes. It is trained on a bounded sample
-of the corpus's own text, with characters exchanged by the same table; its features compare how common the word (or the
-characters around) is before and after the edit, so that they do not depend on a vocabulary.
+Averaged perceptrons decide. The character editor predicts, at each place where the table of similar shapes or a hyphen at
+a line's end proposes something, whether to keep it, replace a character, replace it by two (insert), replace two by one
+(delete), or join two lines; it is trained on a bounded sample of the corpus's own text, with characters exchanged and
+words split. Its features compare how common the word (or the characters around) is in the whole corpus before and after
+the edit, so that they do not depend on a vocabulary. A second one predicts which lines are furniture, from the form of a
+line, its place on the page and the lines around it.
 """
 
 from __future__ import annotations
@@ -18,19 +21,22 @@ from pyspark.sql.types import ArrayType, StringType
 
 from chatloom.runtime import bounded_sample
 
+from .counts import WORDS, Counts, of_corpus, of_texts
+
 # What is read, then what may have stood there.
 LATIN = [("0", "o"), ("1", "l"), ("1", "i"), ("!", "i"), ("!", "l"), ("|", "l"), ("|", "i"), ("@", "a"), ("5", "s"), ("$", "s"), ("9", "g"), ("6", "b"), ("8", "b"), ("3", "e"), ("4", "a"), ("7", "t"), ("c", "e"), ("e", "c"), ("cl", "d"), ("d", "cl"), ("b", "h"), ("h", "b"), ("rn", "m"), ("m", "rn"), ("vv", "w"), ("ii", "u"), ("li", "h"), ("nn", "m"), ("u", "v"), ("v", "u"), ("f", "t"), ("t", "f"), ("l", "i"), ("i", "l"), ("q", "g"), ("g", "q")]
 HAN = "侯候 坏还 丅下 夭天 设没 着看 牛午 处外 令今 咋昨 活话 睌晚 己已 已己 未末 末未 人入 入人 土士 士土 日曰 曰日 大太 太大 犬大 木本 本木 看着 候侯 还坏 没设 午牛 外处 今令 昨咋 话活 天夭 干千 千干 于干 子孑 乌鸟 鸟乌 贝见 见贝 目且 且目 白自 自白 田由 由田 甲申 申甲 王玉 玉王 刀力 力刀 九丸 几凡 凡几 冉再 再冉 准淮 淮准 住往 往住 佳住 待侍 侍待 请清 清请 情清 晴睛 睛晴 拆折 折拆 折析 拔拨 拨拔 拾捨 抬拾 拾抬 搬般 船般 衣农 农衣 免兔 兔免 雨两 两雨 问间 间问 间闻 闻间 问同 同问 门问 开井 井开 夫天 天夫 失矢 戊戌 戌戊 戍戊 治冶 冶治 汁汗 汗汁 沽活 泊伯 找我 我找 代伐 伐代 茶荼 荼茶 崇祟 密蜜 晒洒 洒晒 酒洒 洒酒 旱早 早旱 旧归 归旧 旦旧 了子 子了 丁了 卜下 上土 下卞 气乞 历厉 厂广 广厂 厅斤 斥斤 斤斥 尺尽 史吏 吏史 夹央 央夹 边力 辽迂 过这 这过 远运 运远 迟退 刚则 则刚 到倒 倒到 刮舌 挂桂 桂挂 柱桂 桩柱 柜桓 框柜 架柴 栏拦 拦栏 栅珊 梯悌 椅倚 凳登 灯灮 灯打 炉护 烂拦 锁销 销锁 锤锺 镜境 境镜 钩钓 钓钩 铃钤 铜桐 银根 根银 垫势 毯毡 帘帝 帐怅 帚帝 扇扁 伞余 余伞 壶壸 瓶瓴 杯坏 怀坏 坏怀 盆盒 盒盆 篮蓝 蓝篮 筝争 纸低 低纸 绒线 线绒 结给 给结 终络 络终".split()
 HAN_OF: dict[str, list[str]] = {}
 for _p in HAN:
     HAN_OF.setdefault(_p[0], []).append(_p[1])
-TOKEN = re.compile(r"(?:[^\W_]|[!|@$](?=[^\W\d_]))(?:[^\W_]|[!|@$](?=[^\W\d_])|['’](?=[^\W\d_]))*")
+TOKEN = WORDS
 HYPHEN = re.compile(r"([^\W\d_]+)[-‐‑­][ \t]*\n[ \t]*([^\W\d_]+)")
 NUMBER = re.compile(r"(?i)^\s*(?:[-–—\[(（·.•*]*\s*\d{1,4}\s*[-–—\])）·.•*]*|\d{1,4}\s*[/／]\s*\d{1,4}|第\s*\d{1,4}\s*页(?:\s*[,，/]?\s*共\s*\d{1,4}\s*页)?|(?:page|pg\.?|p\.|seite|s\.)\s*\d{1,4}(?:\s*(?:of|/|von)\s*\d{1,4})?)\s*$")
 NUMBERED = re.compile(r"^\s*(?:(?P<a>\d{1,4})(?:\s+[|·-]?\s*|\s*[|·]\s*)(?P<t>\D.*?)|(?P<u>\D.*?)(?:\s+[|·-]?\s*|\s*[|·]\s*)(?P<b>\d{1,4}))\s*$")
 FRAME = re.compile(r"^\s*[—–\-=~*·|【《]+\s*(\S.*?\S)\s*[—–\-=~*·|】》]+\s*$")
 ZH_TITLE = re.compile(r"^[一-鿿A-Za-z0-9 ]{2,20}(?:手册|指南|公约|章程|须知|细则|守则|年鉴|通讯|简报|规定|制度|条例|办法|名录|目录|说明|纪要|汇编|公报|月报|周报|年报|通知|规程|规范|方案|报告)(?:[·・:： ]?(?:[上中下]册|附录|第.{1,3}[册卷版章]|[一-鿿]{2}))?(?:\s*[（(][^）)]{1,6}[）)])?$")
 STOP = re.compile(r"[。！？!?；;，,…]|[.:：](?:\s|$)")
+_HAN_OLD = re.compile(f"[{''.join(HAN_OF)}]")
 KINDS = ("hyphen", "misread", "header", "page_number")
 MODEL_TEXTS, ROUNDS = 12000, 3
 
@@ -57,59 +63,112 @@ def _joins_on(lines: list[str]) -> bool:
     return len(whole) * 2 >= len(long) and broken * 4 >= len(whole)
 
 
-def furniture(text: str) -> tuple[list[str], set[str]]:
-    """The lines of a page without running headers and page numbers, and the kinds left out."""
-    lines = text.split("\n")
-    if not _joins_on(lines):
-        return lines, set()
-    kept, kinds = [], set()
-    for line in lines:
-        if NUMBER.match(line):
-            kinds.add("page_number")
-        elif (m := NUMBERED.match(line)) and _title(m.group("t") or m.group("u"), 2):
-            kinds |= {"page_number", "header"}
-        elif _title(line, 2 if FRAME.match(line) else 3) or (f := FRAME.match(line)) and len(f.group(1)) <= 40 and not STOP.search(f.group(1)):
-            kinds.add("header")
-        else:
-            kept.append(line)
-    return kept, kinds
+def _form(line: str) -> frozenset[str]:
+    """What a line could be by its form: kinds of furniture, none for text."""
+    if NUMBER.match(line):
+        return frozenset({"page_number"})
+    if (m := NUMBERED.match(line)) and _title(m.group("t") or m.group("u"), 2):
+        return frozenset({"page_number", "header"})
+    if _title(line, 2 if FRAME.match(line) else 3) or (f := FRAME.match(line)) and len(f.group(1)) <= 40 and not STOP.search(f.group(1)):
+        return frozenset({"header"})
+    return frozenset()
 
 
-class Editor:
-    """Averaged perceptron over proposed edits, with the counts it looks up."""
+def line_features(lines: list[str], at: int, form: frozenset[str], page: bool) -> list[str]:
+    """Form of a line, its place from the top and the bottom, and whether the text runs on around it."""
+    n = len(lines)
+    before = next((x for x in reversed(lines[:at]) if x.strip()), "")
+    after = next((x for x in lines[at + 1 :] if x.strip()), "")
+    ends = bool(re.search(r"[。！？!?.…]\s*$", before)) if before else None
+    begins = after.strip()[:1].islower() if after.strip() else None
+    kind = "+".join(sorted(form))
+    place = "first" if at == 0 else "last" if at == n - 1 else "inside"
+    return [f"k{kind}", f"p{page}", f"k{kind}p{page}", f"k{kind}{place}", f"t{min(at, 3)}", f"b{min(n - 1 - at, 3)}", f"h{10 * at // n}", f"e{ends}{begins}", f"n{min(n, 8)}", f"f{bool(FRAME.match(lines[at]))}"]
+
 
-    def __init__(self, words: dict[str, int], runs: dict[str, int], weights: dict[str, float]):
-        self.words, self.runs, self.weights = words, runs, weights
+class Perceptron:
+    """Averaged perceptron over sets of features; a positive score is a yes."""
+
+    def __init__(self, weights: dict[str, float] | None = None):
+        self.weights = weights or {}
+
+    def score(self, features: list[str]) -> float:
+        get = self.weights.get
+        return sum([get(f, 0.0) for f in features])
+
+    @classmethod
+    def train(cls, examples: list[tuple[list[str], bool]], rng: random.Random, rounds: int = ROUNDS) -> Perceptron:
+        weights, totals, stamps, step = {}, Counter(), Counter(), 0
+        for _ in range(rounds):
+            rng.shuffle(examples)
+            for f, good in examples:
+                step += 1
+                if (sum(weights.get(x, 0.0) for x in f) > 0) != good:
+                    for x in f:
+                        w = weights.get(x, 0.0)
+                        totals[x] += (step - stamps[x]) * w
+                        stamps[x] = step
+                        weights[x] = w + (1.0 if good else -1.0)
+        return cls({x: (totals[x] + (step - stamps[x]) * w) / max(step, 1) for x, w in weights.items()})
+
+
+def _step(n: int) -> int:
+    return min(n.bit_length(), 9)
+
+
+class Editor:
+    """The two perceptrons, with the counts that the editor looks up."""
+
+    def __init__(self, counts: Counts, edits: dict[str, float] | None = None, lines: dict[str, float] | None = None):
+        self.counts, self.model, self.line_model = counts, Perceptron(edits), Perceptron(lines)
+
+    def furniture(self, text: str) -> tuple[list[str], set[str], bool]:
+        """The lines without running headers and page numbers, the kinds left out, and whether the text is a page."""
+        lines = text.split("\n")
+        if len(lines) < 4:
+            return lines, set(), False
+        page = _joins_on(lines)
+        kept, kinds = [], set()
+        for at, line in enumerate(lines):
+            form = _form(line)
+            if form and self.line_model.score(line_features(lines, at, form, page)) > 0:
+                kinds |= form
+            else:
+                kept.append(line)
+        return kept, kinds, page
+
+    def joins(self, a: str, b: str) -> bool:
+        """Whether a hyphen at a line's end splits a word."""
+        return self.model.score(join_features(a, b, self.counts.word)) > 0
 
     def edits(self, text: str):
         """``start, end, new, features`` of every edit the table proposes."""
-        words, runs = self.words, self.runs
+        word, run = self.counts.word, self.counts.run
         for m in TOKEN.finditer(text):
             w = m.group()
-            if re.search("[一-鿿]", w) or len(w) < 3:
+            if len(w) < 3 or not w.isascii():
                 continue
             low = w.lower()
-            before = words.get(low, 0)
+            before = word(low)
             if before > 50 or "://" in text[max(0, m.start() - 30) : m.start() + 1].rsplit(" ", 1)[-1] or re.match(r"[@.][\w]|[+\-_]\w*@|\w*\.\w*/", text[m.end() : m.end() + 2]) or (m.start() and text[m.start() - 1] in "@./_+-="):
                 continue
             for old, new in LATIN:
                 at = low.find(old)
                 while at >= 0:
-                    after = words.get(low[:at] + new + low[at + len(old) :], 0)
+                    after = word(low[:at] + new + low[at + len(old) :])
                     if after > 2:
-                        sign = not old.isalpha()
-                        edge = at == 0 or at + len(old) == len(low)
-                        yield m.start() + at, m.start() + at + len(old), new, [f"w{_step(before)}>{_step(after)}", f"s{sign:d}{edge:d}", f"e{old}>{new}", f"b{_step(before)}{sign:d}", "w"]
+                        yield m.start() + at, m.start() + at + len(old), new, word_features(before, after, old, new, at == 0 or at + len(old) == len(low))
                     at = low.find(old, at + 1)
-        for i, c in enumerate(text):
-            for new in HAN_OF.get(c, ()):
-                left, right = text[max(0, i - 2) : i], text[i + 1 : i + 3]
-                if len(left + right) < 2:
-                    continue
-                f = ["h", f"e{c}>{new}"]
+        for m in _HAN_OLD.finditer(text):
+            i, c = m.start(), m.group()
+            left, right = text[max(0, i - 2) : i], text[i + 1 : i + 3]
+            if len(left + right) < 2:
+                continue
+            for new in HAN_OF[c]:
+                f = ["h", "o:replace", f"e{c}>{new}"]
                 gain, most_x, most_y, middle = 0.0, 0, 0, False
                 for a, b in ((left, ""), (left[-1:], right[:1]), ("", right)):
-                    x, y = runs.get(a + c + b, 0), runs.get(a + new + b, 0)
+                    x, y = run(a + c + b), run(a + new + b)
                     f.append(f"r{len(a)}{_step(x)}>{_step(y)}")
                     gain += log2(1 + y) - log2(1 + x)
                     most_x, most_y = max(most_x, x), max(most_y, y)
@@ -119,12 +178,9 @@ class Editor:
                 if gain > 0 and middle and most_y > most_x:
                     yield i, i + 1, new, f
 
-    def score(self, features: list[str]) -> float:
-        return sum(self.weights.get(f, 0.0) for f in features)
-
     def correct(self, text: str) -> tuple[str, int]:
         """The text with the accepted edits, and their number; of edits that touch, the better one."""
-        best = sorted(((s, a, b, n) for a, b, n, f in self.edits(text) if (s := self.score(f)) > 0), key=lambda x: (-x[0], x[1]))
+        best = sorted(((s, a, b, n) for a, b, n, f in self.edits(text) if (s := self.model.score(f)) > 0), key=lambda x: (-x[0], x[1]))
         taken: list[tuple[int, int, str]] = []
         for _, a, b, n in best:
             if all(b <= x or a >= y for x, y, _ in taken):
@@ -134,30 +190,61 @@ class Editor:
         return text, len(taken)
 
 
-def _step(n: int) -> int:
-    return min(n.bit_length(), 9)
+def word_features(before: int, after: int, old: str, new: str, edge: bool) -> list[str]:
+    sign = not old.isalpha()
+    op = "delete" if len(old) > len(new) else "insert" if len(old) < len(new) else "replace"
+    return [f"w{_step(before)}>{_step(after)}", f"s{sign:d}{edge:d}", f"e{old}>{new}", f"b{_step(before)}{sign:d}", "w", f"o:{op}"]
+
+
+def join_features(a: str, b: str, word) -> list[str]:
+    """Features of joining two lines at a hyphen: how common the word and its parts are, and how the next line begins."""
+    low = b[:1].islower() or a.isupper()
+    a, b = a.lower(), b.lower()
+    parts = min(len(a), len(b)) > 2 and min(word(a), word(b)) > 3
+    whole = word(a + b)
+    return ["j", "o:join", f"j{low:d}", f"jw{_step(whole)}{parts:d}", f"jk{whole > 0:d}{parts:d}{low:d}", f"jp{parts:d}"]
 
 
-def _flow(lines: list[str]) -> tuple[str, str]:
+def _flow(lines: list[str]) -> str:
     """Lines as one text for the editor: split words joined, Han lines joined without a space."""
     text = HYPHEN.sub(r"\1\2", "\n".join(lines))
     text = re.sub(r"(?<=[一-鿿，。！？：；、\d])[ \t]*\n[ \t]*(?=[一-鿿，。！？：；、\d])", "", text)
-    return text, re.sub(r"[ \t]*\n[ \t]*", " ", text)
+    return re.sub(r"[ \t]*\n[ \t]*", " ", text)
+
+
+def in_one_line(text: str) -> str:
+    return _flow(text.split("\n")) if "\n" in text else text
+
+
+def _line_examples(texts: list[str]) -> list[tuple[list[str], bool]]:
+    """Lines with the form of furniture: furniture on pages, text elsewhere."""
+    out = []
+    for t in texts:
+        lines = t.split("\n")
+        if len(lines) < 4:
+            continue
+        page = _joins_on(lines)
+        for at, line in enumerate(lines):
+            if form := _form(line):
+                out.append((line_features(lines, at, form, page), page))
+    # a page and a list without any example: what every sample should teach
+    lines = ["The first line of a page runs", "- 7 -", "on to the next one and then", "on and on to the end of it."]
+    return out + [(line_features(lines, 1, frozenset({k}), page), page) for k in ("page_number", "header") for page in (True, False)] * 3
 
 
-def train(texts: list[str], seed: int = 7) -> Editor:
-    """Counts over all texts, then an averaged perceptron on texts with exchanged characters."""
-    flows = [_flow(furniture(t)[0])[1] for t in texts]
-    words = Counter(w.lower() for t in flows for w in TOKEN.findall(t) if w.isascii())
-    runs = Counter(t[i : i + 3] for t in flows for i in range(len(t) - 2) if "一" <= t[i + 1] <= "鿿" or "一" <= t[i] <= "鿿")
-    editor = Editor({w: n for w, n in words.items() if n > 1}, {r: n for r, n in runs.items() if n > 1}, {})
+def train(texts: list[str], counts: Counts | None = None, seed: int = 7) -> Editor:
+    """Perceptrons fitted on texts with exchanged characters and split words; counts are of these texts, if not given."""
     rng = random.Random(seed)
+    flows = [in_one_line(t) for t in texts]
+    editor = Editor(counts or of_texts(flows), None, Perceptron.train(_line_examples(texts), rng).weights)
+    flows = [_flow(editor.furniture(t)[0]) for t in texts]
     back: dict[str, list[str]] = {}
     for old, new in LATIN:
         back.setdefault(new, []).append(old)
     for pair in HAN:
         back.setdefault(pair[1], []).append(pair[0])
-    examples = []
+    examples, words = [], []
+    word = editor.counts.word
     for t in flows[:: max(1, len(flows) // 3000)]:
         # what is proposed on the text as it is should stay; the few real misreadings in it are outvoted
         examples += [(f, False) for *_, f in editor.edits(t[:600])]
@@ -168,63 +255,71 @@ def train(texts: list[str], seed: int = 7) -> Editor:
             near = bad[max(0, i - 40) : i + 40]
             at = i - max(0, i - 40)
             examples += [(f, True) for a, b, n, f in editor.edits(near) if a == at and n == t[i] and b == at + len(wrong)]
-    weights, totals, stamps, step = {}, Counter(), Counter(), 0
-    for _ in range(ROUNDS):
-        rng.shuffle(examples)
-        for f, good in examples:
-            step += 1
-            if (sum(weights.get(x, 0.0) for x in f) > 0) != good:
-                for x in f:
-                    w = weights.get(x, 0.0)
-                    totals[x] += (step - stamps[x]) * w
-                    stamps[x] = step
-                    weights[x] = w + (1.0 if good else -1.0)
-    editor.weights = {x: (totals[x] + (step - stamps[x]) * w) / max(step, 1) for x, w in weights.items()}
+        some = [w for w in TOKEN.findall(t[:600]) if w.isascii() and w.isalpha()]
+        words += some
+        for w in some[:4]:
+            if len(w) > 4:
+                k = rng.randrange(2, len(w) - 1)
+                # its own place counts the word once, and a rare word should be joined as well
+                seen = (lambda x: word(x)) if rng.random() < 0.7 else (lambda x, w=w: 0 if x == w.lower() else word(x))
+                parts = min(word(w[:k].lower()), word(w[k:].lower()))
+                if not (seen(w.lower()) == 0 and parts > 3 and min(k, len(w) - k) > 2):
+                    examples.append((join_features(w[:k], w[k:], seen), True))
+        if len(words) > 2:
+            a, b = rng.choice(words), rng.choice(words)
+            if min(len(a), len(b)) > 2 and not word((a + b).lower()) and min(word(a.lower()), word(b.lower())) > 3:
+                examples += [(join_features(a, b.lower(), word), False), (join_features(a.lower(), b.capitalize(), word), False)]
+    editor.model = Perceptron.train(examples, rng)
     return editor
 
 
-def split_word(a: str, b: str, words: dict[str, int]) -> bool:
-    """Whether a hyphen at a line's end splits a word; a compound is known by its parts and not as a whole."""
-    if not b[0].islower() and not a.isupper():
-        return False
-    a, b = a.lower(), b.lower()
-    return words.get(a + b, 0) > 0 or not (len(a) > 2 and len(b) > 2 and words.get(a, 0) > 3 and words.get(b, 0) > 3)
-
-
 def noise(text: str, editor: Editor) -> set[str]:
-    lines, kinds = furniture(text)
+    lines, kinds, _ = editor.furniture(text)
     body = "\n".join(lines)
-    if any(split_word(m.group(1), m.group(2), editor.words) for m in HYPHEN.finditer(body)):
+    if "\n" in body and any(editor.joins(m.group(1), m.group(2)) for m in HYPHEN.finditer(body)):
         kinds.add("hyphen")
-    if editor.correct(_flow(lines)[1])[1]:
+    if editor.correct(_flow(lines) if len(lines) > 1 else body)[1]:
         kinds.add("misread")
     return kinds
 
 
 def readable(text: str, editor: Editor) -> str:
     """A page as continuous paragraphs, its blank lines between them; other texts keep their lines."""
-    lines, _ = furniture(text)
-    page = _joins_on(text.split("\n"))
-    body = HYPHEN.sub(lambda m: m.group(1) + m.group(2) if split_word(m.group(1), m.group(2), editor.words) else f"{m.group(1)}-{m.group(2)}", "\n".join(lines))
-    parts = [_flow(p.split("\n"))[1] for p in re.split(r"\n[ \t]*\n", body)] if page else [body]
+    lines, _, page = editor.furniture(text)
+    body = HYPHEN.sub(lambda m: m.group(1) + m.group(2) if editor.joins(m.group(1), m.group(2)) else f"{m.group(1)}-{m.group(2)}", "\n".join(lines))
+    parts = [_flow(p.split("\n")) for p in re.split(r"\n[ \t]*\n", body)] if page else [body]
     return "\n\n".join(editor.correct(p)[0] for p in parts)
 
 
 def editor_of(messages: DataFrame) -> Editor:
-    """An editor trained on about ``MODEL_TEXTS`` messages, the same ones in every run."""
-    text = F.coalesce(F.when(F.trim("raw_ocr_text") != "", F.col("raw_ocr_text")), F.col("content"))
-    some = bounded_sample(messages, "seq", MODEL_TEXTS).select("seq", F.substring(text, 1, 1500).alias("t")).filter(F.length("t") > 20)
-    return train([r.t for r in sorted(some.collect())])
+    """An editor with the counts of all texts, trained on about ``MODEL_TEXTS`` messages, the same ones in every run."""
+    raw, content = F.col("raw_ocr_text"), F.col("content")
+    counts = of_corpus(messages.select(F.coalesce(F.when(F.trim(raw) != "", raw), content).alias("text")), in_one_line)
+    text = F.coalesce(F.when(F.trim("raw_ocr_text") != "", raw), content)
+    some = bounded_sample(messages, "seq", MODEL_TEXTS).select("seq", text.alias("t")).filter(F.length("t") > 20)
+    return train([r.t for r in sorted(some.collect())], counts)
+
+
+_last: list = [None, None]
+
+
+def _shared(sent) -> Editor:
+    """The editor of a broadcast, made once for each worker, so that what it looked up is kept from batch to batch."""
+    if _last[0] is not sent.value:
+        words, runs, edits, lines = sent.value
+        _last[:] = sent.value, Editor(Counts(words, runs), edits, lines)
+    return _last[1]
 
 
 def noises(messages: DataFrame) -> DataFrame:
     """``seq, noise``: the kinds of noise in ``raw_ocr_text`` or ``content``."""
     import pyarrow as pa
 
-    shared = messages.sparkSession.sparkContext.broadcast(editor_of(messages).__dict__)
+    editor = editor_of(messages)
+    shared = messages.sparkSession.sparkContext.broadcast((editor.counts.words, editor.counts.runs, editor.model.weights, editor.line_model.weights))
 
     def run(raw: pa.Array, content: pa.Array) -> pa.Array:
-        editor, out = Editor(**shared.value), []
+        editor, out = _shared(shared), []
         for a, b in zip(raw.to_pylist(), content.to_pylist()):
             out.append(sorted(set().union(*(noise(t, editor) for t in {a, b} if t))))
         return pa.array(out, pa.list_(pa.string()))
@@ -237,10 +332,11 @@ def paragraphs(messages: DataFrame) -> DataFrame:
     """``seq, text``: readable text of each message, from ``raw_ocr_text`` where it holds any, else from ``content``."""
     import pyarrow as pa
 
-    shared = messages.sparkSession.sparkContext.broadcast(editor_of(messages).__dict__)
+    editor = editor_of(messages)
+    shared = messages.sparkSession.sparkContext.broadcast((editor.counts.words, editor.counts.runs, editor.model.weights, editor.line_model.weights))
 
     def run(raw: pa.Array, content: pa.Array) -> pa.Array:
-        editor = Editor(**shared.value)
+        editor = _shared(shared)
         texts = (a if a and a.strip() else b for a, b in zip(raw.to_pylist(), content.to_pylist()))
         return pa.array([readable(t, editor) if t else t for t in texts], pa.string())
 

@@ -22,7 +22,7 @@ from chatloom.runtime import bounded_sample
 LEAST_SHARE = 0.22
 SMALL_TALK, TRAIN_ROUNDS, FOLD_ROUNDS = 2, 30, 5
 #: Labelled documents used for training, about, the same ones in every run; terms in fewer sentences are left out.
-MODEL_DOCS, LEAST_SENTENCES, MODEL_CHARS = 3000, 3, 3000
+MODEL_DOCS, LEAST_SENTENCES = 3000, 3
 LEAST_WEIGHT = 0.02
 _INVISIBLE = re.compile("[­​-‏⁠﻿]")
 _SPLIT = re.compile(r"[-‐‑][ \t]*\r?\n[ \t]*(?=[^\W\d_])")
@@ -86,7 +86,7 @@ def train(labelled: list[tuple[str, set[str]]], titles: dict[str, list[str]]) ->
     place = {s: k for k, s in enumerate(names)}
     rows, words, allowed, doc = [], [], [], []
     for at, (text, subjects) in enumerate(labelled):
-        for s in sentences(text[:MODEL_CHARS]):
+        for s in sentences(text):
             found = sorted(set(terms(s)))
             rows += [len(allowed)] * len(found)
             words += found
@@ -151,7 +151,7 @@ def model(docs: DataFrame, labels: DataFrame, subjects: DataFrame) -> tuple[dict
     clean = F.lower(F.trim("subject"))
     titles = {r.s: [x for x in (r.title_en, r.title_zh) if x] for r in subjects.select(clean.alias("s"), "title_en", "title_zh").collect()}
     some = labels.filter("doc_id is not null").groupBy("doc_id").agg(F.collect_set(clean).alias("ss"))
-    rows = docs.join(F.broadcast(bounded_sample(some, "doc_id", MODEL_DOCS)), "doc_id").select("doc_id", F.substring("text", 1, MODEL_CHARS).alias("t"), "ss").filter("t <> ''").collect()
+    rows = docs.join(F.broadcast(bounded_sample(some, "doc_id", MODEL_DOCS)), "doc_id").select("doc_id", F.col("text").alias("t"), "ss").filter("t <> ''").collect()
     return train([(r.t, set(r.ss)) for r in sorted(rows, key=lambda r: r.doc_id)], titles)
 
 

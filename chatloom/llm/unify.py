@@ -10,25 +10,31 @@ from __future__ import annotations
 
 import sys
 import unicodedata
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-# Letters of other alphabets that look like Latin ones, then those Latin ones.
+from chatloom.runtime import materialise
+
+# Letters of other alphabets (Cyrillic, Greek, Armenian, Cherokee, Coptic, phonetic) that look like Latin
+# ones, then those Latin ones.
 LOOK_ALIKE = dict(
     zip(
-        "АВЕКМНОРСТУХІЈЅԌԚԜавеорсухіјѕһԁԛԝӏγΑΒΕΖΗΙΚΜΝΟΡΤΥΧανοριυκ",
-        "ABEKMHOPCTYXIJSGQWaBeopcyxijshdqwlyABEZHIKMNOPTYXavopiuk",
+        "АВЕКМНОРСТУХІЈЅԌԚԜаеорсухіјѕһԁԛԝӏѵѴΑΒΕΖΗΙΚΜΝΟΡΤΥΧανοριυϲϳͿϹօոսհցզյՕՍԼՏᎪᏴᏟᎠᎬᎻᎫᏦᏞᎷᏢᎡᏚᎢᏙᎳᏃⲞⲟⲤⲥⲢⲣɡɑɩᴏᴄᴠᴡᴢ",
+        "ABEKMHOPCTYXIJSGQWaeopcyxijshdqwlvVABEZHIKMNOPTYXavopiucjJConuhgqjOULSABCDEHJKLMPRSTVWZOoCcPpgaiocvwz",
     )
 )
-del LOOK_ALIKE["в"], LOOK_ALIKE["γ"], LOOK_ALIKE["κ"]
+#: Alphabets that count as foreign within a Latin word.
+FOREIGN = ("GREEK", "CYRILLIC", "ARMENIAN", "CHEROKEE", "COPTIC")
 # Signs of the radicals supplement without a decomposition of their own, then the characters they look like.
 RADICALS = dict(zip("⺁⺎⺏⺐⺟⺠⺩⺪⻁⻃⻄⻅⻆⻉⻋⻌⻓⻔⻘⻙⻚⻛⻜⻝⻢⻣⻤⻥⻦⻧⻨⻩⻪⻬⻮⻯⻰⻳", "厂兀尣尢母民王疋虎覀西见角贝车辶长门青韦页风飞食马骨鬼鱼鸟卤麦黄黾齐齿竜龙龟"))
 # Characters without a shape of their own, beside the format characters (class Cf).
 SHAPELESS = "͏ᅟᅠ឴឵ㅤﾠ"
-JOINER = "‍"
+# Line ends beside the ordinary ones, and the flag that tag characters belong to.
+LINE_ENDS = "\x0b\x0c\x85\u2028\u2029"
+JOINER, FLAG = "\u200d", 0x1F3F4
 WORD = r"[\p{L}\p{N}][\p{L}\p{N}\p{M}\p{Cf}]*|[^\p{L}\p{N}]+"
 
 
@@ -47,14 +53,25 @@ def _rewritten(c: str) -> str | None:
 
 @lru_cache(maxsize=1)
 def characters() -> list[tuple[int, str, str]]:
-    """``cp, kind, to`` of the characters that matter: kinds are x (invisible), j (joiner), s (space), r (rewritten),
-    d (decomposed for recomposition), a (look-alike of a Latin letter), g (other Greek or Cyrillic), l (Latin), e
-    (emoji), m (mark)."""
+    """``cp, kind, to`` of the characters that matter: kinds are x (invisible), j (joiner), t (tag), s (space or line
+    end), r (rewritten), d (decomposed for recomposition), a (look-alike of a Latin letter), g (other letter of such an
+    alphabet), l (Latin), e (emoji), m (mark)."""
     out = []
-    for cp in range(0xA0, sys.maxunicode + 1):
-        if 0x3400 <= cp <= 0x9FFF or 0xAC00 <= cp <= 0xD7A3 or 0xD800 <= cp <= 0xF8FF or 0x20000 <= cp <= 0x2F7FF or cp >= 0xE0000:
+    for cp in [*range(0x20), *range(0x7F, sys.maxunicode + 1)]:
+        if 0x3400 <= cp <= 0x9FFF or 0xAC00 <= cp <= 0xD7A3 or 0xD800 <= cp <= 0xF8FF or 0x20000 <= cp <= 0x2F7FF or cp > 0xE01EF:
             continue
         c = chr(cp)
+        if c in "\t\n\r":
+            continue
+        if c in LINE_ENDS:
+            out.append((cp, "s", "\n"))
+            continue
+        if cp < 0xA0 or 0xFE00 <= cp <= 0xFE0E or 0xE0100 <= cp:
+            out.append((cp, "x", ""))
+            continue
+        if 0xE0020 <= cp <= 0xE007F:
+            out.append((cp, "t", c))
+            continue
         kind = unicodedata.category(c)
         if kind == "Cn":
             continue
@@ -69,7 +86,7 @@ def characters() -> list[tuple[int, str, str]]:
             out.append((cp, "r", to))
         elif c in LOOK_ALIKE:
             out.append((cp, "a", c))
-        elif name.startswith(("GREEK", "CYRILLIC")):
+        elif name.startswith(FOREIGN):
             out.append((cp, "g", unicodedata.normalize("NFD", c)))
         elif name.startswith("LATIN"):
             out.append((cp, "l", unicodedata.normalize("NFD", c)))
@@ -99,10 +116,11 @@ def _java(cps) -> str:
 def gate() -> str:
     """A pattern that finds a superset of what may change: characters to drop or rewrite, marks, and look-alikes that
     touch a Latin letter or something to rewrite."""
-    touched = _java(cp for cp, kind, _ in characters() if kind in "xjsr")
+    touched = _java(cp for cp, kind, _ in characters() if kind in "xjtsr")
     alike = _java(map(ord, LOOK_ALIKE))
-    common = r"(?=[^\x00-\x7F一-鿿，。？！：])"
-    return rf"{common}(?:[{touched}]|\p{{M}}|[{alike}](?:\p{{IsLatin}}|(?<=\p{{IsLatin}}[{alike}])|[\p{{L}}\p{{M}}\p{{Cf}}]*\p{{IsLatin}}|(?<=\p{{IsLatin}}[\p{{L}}\p{{M}}\p{{Cf}}]{{1,64}})))"
+    latin = rf"\p{{IsLatin}}&&[^{alike}]"
+    common = r"(?=[^\x09\x0A\x0D\x20-\x7E一-鿿，。？！：])"
+    return rf"{common}(?:[{touched}\x{{1161}}-\x{{1175}}]|\p{{M}}|[{alike}](?:[{latin}]|(?<=[{latin}][{alike}])|[\p{{L}}\p{{N}}\p{{M}}\p{{Cf}}]*[{latin}]|(?<=[{latin}][\p{{L}}\p{{N}}\p{{M}}\p{{Cf}}]{{1,200}})))"
 
 
 def tables(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
@@ -131,14 +149,14 @@ def consistent(texts: DataFrame, keys: list[str], text_col: str = "text") -> Dat
 
     ``keys`` must identify a row. Null and empty texts are never changed. Emoji with their joiners and selectors,
     full-width punctuation, composed letters and words wholly in another alphabet stay; a look-alike becomes Latin only
-    in a word that holds Latin letters and no letter of its alphabet that cannot be taken for Latin.
+    in a word with more Latin letters than letters of such alphabets that cannot be taken for Latin.
     """
     spark = texts.sparkSession
     chars, compose = tables(spark)
     classes = spark.createDataFrame([(int(a), int(b)) for a, b in (x.split(":") for x in _classes().split(","))], "mark int, ccc int")
     some = texts.select(*keys, F.col(text_col).alias("text")).filter(F.col("text").rlike(gate()))
-    # one shuffle of the texts concerned; everything below keeps to this partitioning
-    some = some.repartition(*keys)
+    # the texts are scanned once; everything below keeps to this partitioning
+    some = materialise(some, "loose").repartition(*keys)
     segs = some.select(*keys, F.posexplode(F.regexp_extract_all("text", F.lit(f"(?s){WORD}"), F.lit(0))).alias("_s", "seg"))
     loose = F.col("seg").rlike(gate())
     points = segs.select(*keys, "_s", loose.alias("_loose"), F.posexplode(F.when(loose, F.regexp_extract_all("seg", F.lit("(?s)."), F.lit(0))).otherwise(F.array("seg"))).alias("_p", "c"))
@@ -146,13 +164,16 @@ def consistent(texts: DataFrame, keys: list[str], text_col: str = "text") -> Dat
     points = points.join(F.broadcast(chars), "cp", "left")
     seg = Window.partitionBy(*keys, "_s")
     line = seg.orderBy("_p")
-    latin = F.max(F.coalesce((F.col("kind") == "l") | ((F.col("kind") == "r") & F.col("to").rlike(r"\p{IsLatin}")), F.col("cp").between(65, 90) | F.col("cp").between(97, 122), F.lit(False)) | F.coalesce(F.col("cp").between(65, 90) | F.col("cp").between(97, 122), F.lit(False)))
-    foreign = F.max(F.coalesce(F.col("kind") == "g", F.lit(False)))
-    points = points.withColumns({"_latin": latin.over(seg), "_foreign": foreign.over(seg), "_before": F.lag("kind").over(line), "_after": F.lead("kind").over(line)})
+    plain = F.col("cp").between(65, 90) | F.col("cp").between(97, 122)
+    latin = F.count_if(F.coalesce(plain, F.lit(False)) | F.coalesce((F.col("kind") == "l") | ((F.col("kind") == "r") & F.col("to").rlike(r"\p{IsLatin}")), F.lit(False)))
+    foreign = F.count_if(F.coalesce(F.col("kind") == "g", F.lit(False)))
+    flag = F.max(F.coalesce(F.col("cp") == FLAG, F.lit(False)))
+    points = points.withColumns({"_latin": latin.over(seg), "_foreign": foreign.over(seg), "_flag": flag.over(seg), "_before": F.lag("kind").over(line), "_after": F.lead("kind").over(line)})
     new = (
         F.when(F.col("kind").isNull(), F.col("c"))
         .when(F.col("kind") == "j", F.when((F.col("_before") == "e") & (F.col("_after") == "e"), F.col("c")).otherwise(""))
-        .when((F.col("kind") == "a") & F.col("_latin") & ~F.col("_foreign"), F.col("alike"))
+        .when(F.col("kind") == "t", F.when(F.col("_flag"), F.col("c")).otherwise(""))
+        .when((F.col("kind") == "a") & (F.col("_latin") > F.col("_foreign")), F.col("alike"))
         .when(F.col("kind") == "a", F.col("c"))
         .otherwise(F.col("to"))
     )
@@ -195,8 +216,11 @@ def changed(messages: DataFrame, names: tuple[str, ...] = ("content", "sender"))
 
 
 def unify(messages: DataFrame, names: tuple[str, ...] = ("content", "sender")) -> DataFrame:
-    """The messages with the named fields in the consistent form. Only the rows that change are joined back."""
-    new = changed(messages, names).groupBy("seq").pivot("field", list(names)).agg(F.first("unified"))
+    """The messages with the named fields in the consistent form. Only messages with something that may change are
+    shuffled; all others go straight out."""
+    loose = reduce(lambda a, b: a | b, [F.coalesce(F.col(n).rlike(gate()), F.lit(False)) for n in names])
+    some = materialise(messages.filter(loose), "loose")
+    new = changed(some, names).groupBy("seq").pivot("field", list(names)).agg(F.first("unified"))
     new = new.select(F.col("seq"), *[F.col(n).alias(f"_new_{n}") for n in names])
-    out = messages.join(new, "seq", "left").withColumns({n: F.coalesce(f"_new_{n}", n) for n in names})
-    return out.drop(*[f"_new_{n}" for n in names])
+    out = some.join(new, "seq", "left").withColumns({n: F.coalesce(f"_new_{n}", n) for n in names})
+    return out.drop(*[f"_new_{n}" for n in names]).unionByName(messages.filter(~loose))

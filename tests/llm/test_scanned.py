@@ -2,7 +2,8 @@
 
 import pytest
 
-from chatloom.llm.scanned import furniture, noise, readable, train
+from chatloom.llm.counts import of_texts
+from chatloom.llm.scanned import in_one_line, noise, readable, train
 
 CLEAN = ["The borrowed wardrobe was weighed after lunch.", "The wooden basket got soaked on the balcony.", "The wardrobe and the basket were hidden in the wooden shed.", "今天在天台上的衣柜还在晾。", "昨天在雨棚下的篮子找到了。"]
 PAGE = "— Coopers Library Rules —\nThe borrowed wardr0be was wei-\nghed after lunch, and then the\n[7]\nwooden basket got soaked on the\nbalcony and the wardrobe was\nhidden in the shed."
@@ -10,11 +11,12 @@ PAGE = "— Coopers Library Rules —\nThe borrowed wardr0be was wei-\nghed afte
 
 @pytest.fixture(scope="module")
 def editor():
-    return train(CLEAN * 60)
+    return train(CLEAN * 60 + [PAGE] * 2)
 
 
-def test_furniture():
-    lines, kinds = furniture(PAGE)
+def test_furniture(editor):
+    lines, kinds, page = editor.furniture(PAGE)
+    assert page
     assert kinds == {"header", "page_number"}
     assert len(lines) == 5
 
@@ -35,3 +37,19 @@ def test_bare_numbers_of_a_chat_stay(editor):
 def test_han_characters(editor):
     assert noise("昨夭在雨棚下的篮子找到了。", editor) == {"misread"}
     assert noise("昨天在雨棚下的篮子找到了。", editor) == set()
+
+
+def test_counts():
+    counts = of_texts([in_one_line("a wei-\nghed w0rd, a weighed w0rd"), "昨天\n今天", "昨天今天 w0rd"])
+    assert (counts.word("weighed"), counts.word("w0rd"), counts.word("a"), counts.word("ghed"), counts.word("none")) == (2, 3, 2, 0, 0)
+    assert counts.run("昨天今") == 0 and of_texts(["昨天今天"] * 3).run("昨天今") == 3 and counts.run("昨") == 0
+
+
+def test_counts_and_queries_on_tables(spark):
+    from chatloom.llm.scanned import noises, paragraphs
+
+    rows = [(i, None, t) for i, t in enumerate(CLEAN * 60)] + [(900, PAGE, None), (901, None, None), (902, "", ""), (903, PAGE, PAGE)]
+    df = spark.createDataFrame(rows, "seq bigint, raw_ocr_text string, content string").repartition(3)
+    assert {(r.seq, r.noise) for r in noises(df).collect() if r.seq >= 900} == {(s, k) for s in (900, 903) for k in ("hyphen", "misread", "header", "page_number")}
+    out = {r.seq: r.text for r in paragraphs(df).collect()}
+    assert out[901] is None and out[902] == "" and out[900] == out[903] and out[900].startswith("The borrowed wardrobe was weighed after lunch") and len(out) == len(rows)
