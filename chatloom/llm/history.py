@@ -9,7 +9,7 @@ from math import ceil, log2
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatloom.runtime import materialise, parts, scratch_path
+from chatloom.runtime import discard, materialise, parts, scratch_path
 
 from .exact import letters_digits
 from .near import LEAST_CHARS, THRESHOLD, WIDTH, message_text, verified
@@ -21,6 +21,8 @@ AT, RECALL = 0.65, 0.99
 #: Rows of a folder of a run, about; most folders of a run; entries of a batch whose ranges are broadcast at once, which
 #: bounds them to about 40 MB; runs up to which none are merged.
 FOLDER_ROWS, FOLDERS, SLICE, RUNS = 1 << 18, 1 << 12, 1 << 16, 16
+#: Entries, and ids, that are broadcast at once to fetch theirs from the history: 16 MB each, about.
+FETCHED, FETCHED_IDS = 1 << 20, 1 << 18
 _ENTRY = "entry bigint, sender string, text string"
 _PATH = "tree int, path binary, entry bigint, size int"
 
@@ -36,13 +38,27 @@ def depth_for(at: float = AT, recall: float = RECALL, trees: int = TREES, depth:
 
 def entries(messages: DataFrame) -> DataFrame:
     """``seq, id, sender, text`` for the search: sender in canonical form (null stays null), text null if too short."""
-    text = message_text(F.col("content"), F.col("raw_ocr_text"))
-    return messages.select(
+    known = F.col("sender").isNotNull()
+    rows = messages.select(
         "seq",
         F.when(F.trim("id") != "", F.col("id")).alias("id"),
-        F.when(F.col("sender").isNotNull(), letters_digits(F.col("sender"))).alias("sender"),
-        F.when((F.length(text) >= LEAST_CHARS) & F.col("sender").isNotNull(), text).alias("text"),
+        F.when(known, letters_digits(F.col("sender"))).alias("sender"),
+        # a raw text that is too short stays so
+        F.when(known & (F.greatest(F.length("content"), F.length("raw_ocr_text")) >= LEAST_CHARS), message_text(F.col("content"), F.col("raw_ocr_text"))).alias("text"),
     )
+    return rows.withColumn("text", F.when(F.length("text") >= LEAST_CHARS, F.col("text")))
+
+
+def _held(rows: DataFrame, keys: DataFrame, column: str, most: int) -> DataFrame:
+    """The rows whose ``column`` is among ``keys`` (distinct, of that one column), which are broadcast ``most`` at a time;
+    the rows are read once for each time, and only those held are ever shuffled."""
+    slices = max(1, ceil(keys.count() / most))
+    out = None
+    for s in range(slices):
+        some = keys.filter(F.pmod(F.xxhash64(column, F.lit(5)), F.lit(slices)) == s) if slices > 1 else keys
+        part = rows.join(F.broadcast(some), column, "left_semi")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def _paths(rows: DataFrame, trees: int, depth: int) -> DataFrame:
@@ -199,6 +215,8 @@ class HashForest:
         ids = materialise(rows.filter("id is not null").groupBy("id").agg(F.min("seq").alias("lowest")), "ids")
         made["folders"]["ids"] = self._folders(ids.count())
         self._write(ids, f"{run}/ids", made["folders"]["ids"], _folder("id"))
+        for step in (long, stored, paths, ids):
+            discard(step)
         self.runs.append(made)
         self._save()
         return made
@@ -277,13 +295,15 @@ class HashForest:
         pairs = self.locate(run, least, recall)
         mine = self._read("entries", _ENTRY, runs=[run])
         left = mine.select(F.col("entry").alias("a"), F.col("sender").alias("left_sender"), F.col("text").alias("left_text"))
-        right = self._read("entries", _ENTRY, self._touched(pairs, "entries", _folder("b"))).select(F.col("entry").alias("b"), F.col("sender").alias("right_sender"), F.col("text").alias("right_text"))
+        wanted = materialise(pairs.select(F.col("b").alias("entry")).distinct(), "wanted")
+        right = _held(self._read("entries", _ENTRY, self._touched(wanted, "entries", _folder("entry"))), wanted, "entry", FETCHED).select(F.col("entry").alias("b"), F.col("sender").alias("right_sender"), F.col("text").alias("right_text"))
         alike = verified(pairs, left, right, least, same=("left_sender", "right_sender"))
         low = alike.groupBy("a").agg(F.min("b").alias("low"))
         digest = F.md5(F.concat_ws("\x1f", "sender", "text"))
         firsts = mine.select(F.col("entry").alias("a"), digest.alias("digest")).join(low, "a", "left").select("digest", F.least("a", "low").alias("text_low"))
         known = rows.filter("id is not null")
-        ids = self._read("ids", "id string, lowest bigint", self._touched(known, "ids", _folder("id"))).join(known.select("id").distinct(), "id").groupBy("id").agg(F.min("lowest").alias("id_low"))
+        asked = materialise(known.select("id").distinct(), "asked")
+        ids = _held(self._read("ids", "id string, lowest bigint", self._touched(asked, "ids", _folder("id"))), asked, "id", FETCHED_IDS).groupBy("id").agg(F.min("lowest").alias("id_low"))
         out = rows.select("seq", "id", F.when(F.col("text").isNotNull(), digest).alias("digest")).join(firsts, "digest", "left").join(ids, "id", "left")
         return out.select(F.least("text_low", "id_low").alias("seq_a"), F.col("seq").alias("seq_b")).filter("seq_a < seq_b")
 
