@@ -38,7 +38,10 @@ ZH_TITLE = re.compile(r"^[一-鿿A-Za-z0-9 ]{2,20}(?:手册|指南|公约|章程
 STOP = re.compile(r"[。！？!?；;，,…]|[.:：](?:\s|$)")
 _HAN_OLD = re.compile(f"[{''.join(HAN_OF)}]")
 KINDS = ("hyphen", "misread", "header", "page_number")
+_ADDRESS = re.compile(r"[@.][\w]|[+\-_]\w*@|\w*\.\w*/")
 MODEL_TEXTS, ROUNDS = 12000, 3
+#: A word found more often is none that was misread; most entries of each memo of a worker.
+COMMON, MEMO = 50, 200_000
 
 
 def _title(line: str, least: int = 3) -> bool:
@@ -121,6 +124,9 @@ class Editor:
 
     def __init__(self, counts: Counts, edits: dict[str, float] | None = None, lines: dict[str, float] | None = None):
         self.counts, self.model, self.line_model = counts, Perceptron(edits), Perceptron(lines)
+        self._common: set[str] = set()
+        self._words: dict[str, list] = {}
+        self._around: dict[tuple[str, str], list] = {}
 
     def furniture(self, text: str) -> tuple[list[str], set[str], bool]:
         """The lines without running headers and page numbers, the kinds left out, and whether the text is a page."""
@@ -141,48 +147,85 @@ class Editor:
         """Whether a hyphen at a line's end splits a word."""
         return self.model.score(join_features(a, b, self.counts.word)) > 0
 
+    def _of_word(self, low: str):
+        """``start, end, new, features`` of the edits proposed in a word; none in a common one."""
+        word = self.counts.word
+        before = word(low)
+        if before > COMMON:
+            return
+        for old, new in LATIN:
+            at = low.find(old)
+            while at >= 0:
+                after = word(low[:at] + new + low[at + len(old) :])
+                if after > 2:
+                    yield at, at + len(old), new, word_features(before, after, old, new, at == 0 or at + len(old) == len(low))
+                at = low.find(old, at + 1)
+
+    def _of_han(self, left: str, c: str, right: str):
+        """``new, features`` of what may have stood for a Han character between up to two others on each side."""
+        run = self.counts.run
+        if len(left + right) < 2:
+            return
+        for new in HAN_OF[c]:
+            f = ["h", "o:replace", f"e{c}>{new}"]
+            gain, most_x, most_y, middle = 0.0, 0, 0, False
+            for a, b in ((left, ""), (left[-1:], right[:1]), ("", right)):
+                x, y = run(a + c + b), run(a + new + b)
+                f.append(f"r{len(a)}{_step(x)}>{_step(y)}")
+                gain += log2(1 + y) - log2(1 + x)
+                most_x, most_y = max(most_x, x), max(most_y, y)
+                middle = middle or bool(a and b and y > x)
+            f.append(f"g{max(-6, min(12, int(gain)))}")
+            # both characters may be common: the new one must fit between its neighbours, and better than the old one
+            if gain > 0 and middle and most_y > most_x:
+                yield new, f
+
     def edits(self, text: str):
         """``start, end, new, features`` of every edit the table proposes."""
-        word, run = self.counts.word, self.counts.run
         for m in TOKEN.finditer(text):
             w = m.group()
-            if len(w) < 3 or not w.isascii():
-                continue
+            if len(w) > 2 and w.isascii() and not _in_address(text, m.start(), m.end()):
+                for a, b, new, f in self._of_word(w.lower()):
+                    yield m.start() + a, m.start() + b, new, f
+        for m in _HAN_OLD.finditer(text):
+            i = m.start()
+            for new, f in self._of_han(text[max(0, i - 2) : i], m.group(), text[i + 1 : i + 3]):
+                yield i, i + 1, new, f
+
+    def accepted(self, text: str) -> list[tuple[float, int, int, str]]:
+        """``score, start, end, new`` of the edits with a positive score. Words and surroundings met before are not judged
+        again, and common words not looked at."""
+        out, score = [], self.model.score
+        rare = set()
+        for w in set(TOKEN.findall(text)) - self._common:
             low = w.lower()
-            before = word(low)
-            if before > 50 or "://" in text[max(0, m.start() - 30) : m.start() + 1].rsplit(" ", 1)[-1] or re.match(r"[@.][\w]|[+\-_]\w*@|\w*\.\w*/", text[m.end() : m.end() + 2]) or (m.start() and text[m.start() - 1] in "@./_+-="):
+            if len(w) < 3 or not w.isascii() or self.counts.word(low) > COMMON:
+                self._common.add(w)
                 continue
-            for old, new in LATIN:
-                at = low.find(old)
-                while at >= 0:
-                    after = word(low[:at] + new + low[at + len(old) :])
-                    if after > 2:
-                        yield m.start() + at, m.start() + at + len(old), new, word_features(before, after, old, new, at == 0 or at + len(old) == len(low))
-                    at = low.find(old, at + 1)
+            if low not in self._words:
+                self._words[low] = [(s, a, b, new) for a, b, new, f in self._of_word(low) if (s := score(f)) > 0]
+            if self._words[low]:
+                rare.add(w)
+        if rare:
+            for m in TOKEN.finditer(text):
+                if m.group() in rare and not _in_address(text, m.start(), m.end()):
+                    out += [(s, m.start() + a, m.start() + b, new) for s, a, b, new in self._words[m.group().lower()]]
         for m in _HAN_OLD.finditer(text):
-            i, c = m.start(), m.group()
-            left, right = text[max(0, i - 2) : i], text[i + 1 : i + 3]
-            if len(left + right) < 2:
-                continue
-            for new in HAN_OF[c]:
-                f = ["h", "o:replace", f"e{c}>{new}"]
-                gain, most_x, most_y, middle = 0.0, 0, 0, False
-                for a, b in ((left, ""), (left[-1:], right[:1]), ("", right)):
-                    x, y = run(a + c + b), run(a + new + b)
-                    f.append(f"r{len(a)}{_step(x)}>{_step(y)}")
-                    gain += log2(1 + y) - log2(1 + x)
-                    most_x, most_y = max(most_x, x), max(most_y, y)
-                    middle = middle or bool(a and b and y > x)
-                f.append(f"g{max(-6, min(12, int(gain)))}")
-                # both characters may be common: the new one must fit between its neighbours, and better than the old one
-                if gain > 0 and middle and most_y > most_x:
-                    yield i, i + 1, new, f
+            i = m.start()
+            around = (text[max(0, i - 2) : i], text[i : i + 3])
+            found = self._around.get(around)
+            if found is None:
+                found = self._around[around] = [(s, new) for new, f in self._of_han(around[0], m.group(), around[1][1:]) if (s := score(f)) > 0]
+            out += [(s, i, i + 1, new) for s, new in found]
+        for memo in (self._common, self._words, self._around):
+            if len(memo) > MEMO:
+                memo.clear()
+        return out
 
     def correct(self, text: str) -> tuple[str, int]:
         """The text with the accepted edits, and their number; of edits that touch, the better one."""
-        best = sorted(((s, a, b, n) for a, b, n, f in self.edits(text) if (s := self.model.score(f)) > 0), key=lambda x: (-x[0], x[1]))
         taken: list[tuple[int, int, str]] = []
-        for _, a, b, n in best:
+        for _, a, b, n in sorted(self.accepted(text), key=lambda x: (-x[0], x[1])):
             if all(b <= x or a >= y for x, y, _ in taken):
                 taken.append((a, b, n))
         for a, b, n in sorted(taken, reverse=True):
@@ -190,6 +233,13 @@ class Editor:
         return text, len(taken)
 
 
+def _in_address(text: str, start: int, end: int) -> bool:
+    """Whether a word is part of a link, a mail address, a file or a number with signs."""
+    if start and text[start - 1] in "@./_+-=" or "://" in text[max(0, start - 30) : start + 1].rsplit(" ", 1)[-1]:
+        return True
+    return bool(_ADDRESS.match(text[end : end + 2]))
+
+
 def word_features(before: int, after: int, old: str, new: str, edge: bool) -> list[str]:
     sign = not old.isalpha()
     op = "delete" if len(old) > len(new) else "insert" if len(old) < len(new) else "replace"
