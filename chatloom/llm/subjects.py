@@ -26,6 +26,7 @@ MODEL_DOCS, LEAST_SENTENCES = 3000, 3
 LEAST_WEIGHT = 0.02
 _INVISIBLE = re.compile("[­​-‏⁠﻿]")
 _SPLIT = re.compile(r"[-‐‑][ \t]*\r?\n[ \t]*(?=[^\W\d_])")
+_CLOCK = re.compile(r"\d:\d\d")
 _SPEAKER = re.compile(r"(?m)^[>\s]*\[\d{1,2}:\d\d\][^\n:：]{0,40}[:：]\s*|^[>\s]*[^\n。！？]{1,25}\s\d{1,2}:\d\d\s*$")
 _HAN_LINE = re.compile(r"(?<=[一-鿿，、])[ \t]*\r?\n[ \t]*(?=[一-鿿，。！？、])")
 _WRAP = re.compile(r"(?<=[^\W\d_],|[^\W\d_]{2}|\w:)[ \t]*\r?\n[ \t]*(?=[^\W\d_A-Z])")
@@ -36,15 +37,23 @@ _WORD = re.compile(r"[^\W\d_一-鿿]{2,}")
 
 def sentences(text: str) -> list[str]:
     """The sentences of a text; line breaks within sentences, speakers and times are left out."""
-    t = _SPEAKER.sub("\n", _SPLIT.sub("", _INVISIBLE.sub("", text)))
-    t = _WRAP.sub(" ", _HAN_LINE.sub("", t))
+    plain = text.isascii()
+    t = text if plain else _INVISIBLE.sub("", text)
+    # each pattern is tried only where what it needs is there
+    if "\n" in t:
+        t = _SPLIT.sub("", t)
+    if _CLOCK.search(t):
+        t = _SPEAKER.sub("\n", t)
+    if "\n" in t:
+        t = _WRAP.sub(" ", t if plain else _HAN_LINE.sub("", t))
     return [s for x in _END.split(t) if len(s := x.strip()) > 3]
 
 
 def terms(sentence: str) -> list[str]:
     """Words in lower case, and pairs of Han characters."""
-    han = [] if sentence.isascii() else [x[i : i + 2] for x in _HAN.findall(sentence) for i in range(len(x) - 1)]
-    return han + [w.lower() for w in _WORD.findall(sentence)]
+    if sentence.isascii():
+        return _WORD.findall(sentence.lower())
+    return [x[i : i + 2] for x in _HAN.findall(sentence) for i in range(len(x) - 1)] + [w.lower() for w in _WORD.findall(sentence)]
 
 
 def _sums(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
@@ -126,10 +135,11 @@ def train(labelled: list[tuple[str, set[str]]], titles: dict[str, list[str]]) ->
 
 def shares(texts: list[str | None], vocabulary: dict[str, int], weights: np.ndarray, specific: np.ndarray, subjects: int) -> np.ndarray:
     """``texts x subjects``: the part of each text's sentences that are about each subject."""
-    owner, rows, cols = [], [], []
+    owner, rows, cols, number = [], [], [], vocabulary.get
     for i, text in enumerate(texts):
         for s in sentences(text) if text else ():
-            found = {vocabulary[t] for t in terms(s) if t in vocabulary}
+            found = set(map(number, terms(s)))
+            found.discard(None)
             rows += [len(owner)] * len(found)
             cols += found
             owner.append(i)
