@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import WS, has_any, lines, strip, text
+from .text import WS, has_any, let, lines, strip, text
 from .times import is_time_line
 
 # Platforms and labels of a share card.
@@ -13,6 +13,8 @@ RED, BILI, BILI_EN, MINI = "小红书", "哔哩哔哩", "bilibili", "微信小
 CARD_HINTS = ("小红书", "哔哩哔哩", "bilibili", "小程序", "微信小程序", "星巴克", "礼物", "查收", "点击打开", "来源")
 SOURCE, UP, PLAYS, NO_PLATFORM, MINI_SOURCE = "来源", "UP主", "播放量", "分享", "星巴克"
 URL = rf"https?://[^{WS}]+"
+#: What every text with a card holds.
+MAY_BE_CARD = "https?://|来源|小红书|哔哩哔哩|bilibili|小程序"
 
 
 def play_count(c: Column) -> Column:
@@ -54,27 +56,34 @@ def platform_of(ls: Column) -> Column:
 
 def share_card(content: Column) -> Column:
     """The share card in a text, or null: a link, a source, or a platform's line among three or more make one."""
-    ls = lines(content)
+    return F.when(text(content).rlike(MAY_BE_CARD), let(lines(content), _card_of))
+
+
+def _card_of(ls: Column) -> Column:
     joined = F.array_join(ls, "\n")
-    platform = platform_of(ls)
-    url = F.nullif(F.regexp_extract(joined, URL, 0), F.lit(""))
+    return let(F.struct(platform_of(ls).alias("p"), F.nullif(F.regexp_extract(joined, URL, 0), F.lit("")).alias("url"), joined.alias("j")), lambda x: _card(ls, x["p"], x["url"], x["j"]))
+
+
+def _card(ls: Column, platform: Column, url: Column, joined: Column) -> Column:
     named = F.coalesce(F.array_contains(ls, platform), F.lit(False))
     shared = (F.size(ls) > 0) & (url.isNotNull() | joined.contains(SOURCE) | (named & (F.size(ls) >= 3)))
     source, up = _value(_last(ls, SOURCE)), _value(_last(ls, UP))
     plays = play_count(_value(_last(ls, PLAYS)))
-    rest = F.filter(ls, lambda x: ~(_labelled(x, SOURCE) | _labelled(x, UP) | _labelled(x, PLAYS) | x.startswith("http://") | x.startswith("https://")))
-    first = F.try_element_at(rest, F.lit(1))
-    led = F.coalesce((first == platform) & (F.size(rest) >= 2), F.lit(False))
-    title = F.when(led, F.try_element_at(rest, F.lit(2))).otherwise(F.coalesce(first, F.try_element_at(ls, F.lit(1))))
-    skipped = F.when(led, 3).otherwise(2)
-    body = F.nullif(F.array_join(F.slice(rest, skipped, F.size(rest) + 1), "\n"), F.lit(""))
     mini = F.when((platform == MINI) & joined.contains(MINI_SOURCE), MINI_SOURCE)
     origin = F.coalesce(F.nullif(source, F.lit("")), mini, platform)
-    card = F.struct(
-        F.coalesce(platform, F.lit(NO_PLATFORM)).alias("platform"), title.alias("title"), body.alias("body"), origin.alias("source"),
-        up.alias("up_name"), plays.alias("play_count"), url.alias("canonical_url"),
-    )
-    return F.when(shared, card)
+    rest = F.filter(ls, lambda x: ~(_labelled(x, SOURCE) | _labelled(x, UP) | _labelled(x, PLAYS) | x.startswith("http://") | x.startswith("https://")))
+
+    def titled(rest: Column) -> Column:
+        first = F.try_element_at(rest, F.lit(1))
+        led = F.coalesce((first == platform) & (F.size(rest) >= 2), F.lit(False))
+        title = F.when(led, F.try_element_at(rest, F.lit(2))).otherwise(F.coalesce(first, F.try_element_at(ls, F.lit(1))))
+        body = F.nullif(F.array_join(F.slice(rest, F.when(led, 3).otherwise(2), F.size(rest) + 1), "\n"), F.lit(""))
+        return F.struct(
+            F.coalesce(platform, F.lit(NO_PLATFORM)).alias("platform"), title.alias("title"), body.alias("body"), origin.alias("source"),
+            up.alias("up_name"), plays.alias("play_count"), url.alias("canonical_url"),
+        )
+
+    return F.when(shared, let(rest, titled))
 
 
 def compact_card(content: Column) -> Column:

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 WS = r"\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 LINE_END = r"\r\n|[\n\r\x{b}\x{c}\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]"
 STRIP = rf"\A[{WS}]+|[{WS}]+\z"
+#: The same characters one by one.
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 #: What a word is made of, for word limits that hold beside Han text too.
 WORD = r"\p{L}\p{N}_"
 
@@ -27,13 +29,19 @@ def any_of(tests) -> Column:
     return reduce(lambda a, b: a | b, tests)
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)``, with the value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def text(c: Column | str) -> Column:
     """The column, null as empty."""
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, STRIP, "")
+    """Without white space at both ends."""
+    return F.btrim(c, F.lit(SPACES))
 
 
 def filled(c: Column) -> Column:
@@ -53,7 +61,8 @@ def lines(c: Column) -> Column:
 
 def norm_text(c: Column) -> Column:
     """Without zero-width and direction characters, ``：`` as ``:``, white space as single spaces; null as empty."""
-    plain = F.translate(F.regexp_replace(text(c), r"[\x{200B}-\x{200F}]", ""), "：", ":")
+    # what has no counterpart is deleted
+    plain = F.translate(text(c), "：\u200b\u200c\u200d\u200e\u200f", ":")
     return F.regexp_replace(strip(plain), rf"[{WS}]+", " ")
 
 

@@ -58,18 +58,26 @@ def whole(forms) -> str:
     return rf"\A(?:{'|'.join(forms)})\z"
 
 
+#: All characters that such texts are made of; a cheap test that most texts fail at their first one.
+ONLY_TIME_CHARS = rf"\A[{WS}\p{{Nd}}\x{{200B}}-\x{{200F}}:：/.\-年月日星期周一二三四五六天昨今前上下午中凌晨傍晚间早AMP]+\z"
+
+
+def _one_of(forms, loose: str, needs: str) -> str:
+    """A pattern for the forms, or for a loose text that holds what it needs."""
+    return rf"\A(?:{'|'.join(forms)}|(?=[\s\S]*?(?:{needs})){loose.removeprefix(chr(92) + 'A').removesuffix(chr(92) + 'z')})\z"
+
+
 def only_time_storage(content: Column, extra: tuple[str, ...] = ()) -> Column:
     """Whether a text is only a time, by the storage's forms; ``extra`` patterns are matched from the text's start."""
-    s = strip(text(content))
-    forms = s.rlike(whole(STORAGE_FORMS)) | (s.rlike(STORAGE_LOOSE) & s.rlike(STORAGE_NEEDS))
-    more = [(s != "") & s.rlike(rf"\A(?:{p})") for p in extra if p]
+    c = text(content)
+    forms = c.rlike(ONLY_TIME_CHARS) & strip(c).rlike(_one_of(STORAGE_FORMS, STORAGE_LOOSE, STORAGE_NEEDS))
+    more = [(strip(c) != "") & strip(c).rlike(rf"\A(?:{p})") for p in extra if p]
     return any_of([forms, *more])
 
 
 def only_time_merge(content: Column) -> Column:
     """Whether a text is only a time, by the merge's forms, which differ from the storage's."""
-    s = norm_text(content)
-    return s.rlike(whole(MERGE_FORMS)) | (s.rlike(MERGE_LOOSE) & s.rlike(MERGE_NEEDS))
+    return text(content).rlike(ONLY_TIME_CHARS) & norm_text(content).rlike(_one_of(MERGE_FORMS, MERGE_LOOSE, MERGE_NEEDS))
 
 
 def is_time_line(line: Column, compat: bool = True) -> Column:

@@ -25,7 +25,9 @@ def key_of(df: DataFrame, null_id: str = "") -> Column:
 def order_of(df: DataFrame) -> list[Column]:
     """What merged rows are ordered by: time to the second and then ``seq``; times that can't be read come last, by their
     text, null as empty."""
-    stamp = second(F.col("timestamp"), _as_text(df))
+    if not _as_text(df):
+        return [F.col("timestamp").isNull(), F.date_trunc("second", "timestamp"), F.col("seq")]
+    stamp = second(F.col("timestamp"), True)
     return [read_stamp(stamp).isNull(), stamp, F.col("seq")]
 
 
