@@ -194,7 +194,10 @@ class HashForest:
 
     def _write(self, df: DataFrame, path: str, folders: int, number, *order: str) -> None:
         rows = df.withColumn("folder", F.pmod(number, F.lit(folders)))
-        if order:
+        if order and folders == 1:
+            # few rows: sorted files of whole trees, without a look at the rows beforehand
+            rows = rows.repartition(min(8, parts(self.spark)), order[0]).sortWithinPartitions(*order)
+        elif order:
             rows = rows.repartitionByRange(parts(self.spark), "folder", *order).sortWithinPartitions("folder", *order)
         elif folders > 1:
             rows = rows.repartition(parts(self.spark), "folder", F.pmod(F.monotonically_increasing_id(), F.lit(8)))
@@ -209,7 +212,9 @@ class HashForest:
         stored = materialise(long.join(first.select("seq"), "seq").select(F.col("seq").alias("entry"), "sender", "text"), "stored")
         made = {"name": run, "entries": stored.count()}
         made["folders"] = {"entries": self._folders(made["entries"]), "paths": self._folders(made["entries"] * self.trees)}
-        paths = materialise(_paths(stored, self.trees, self.depth), "paths")
+        paths = _paths(stored, self.trees, self.depth)
+        if made["folders"]["paths"] > 1:  # a range partitioning reads its rows twice
+            paths = materialise(paths, "paths")
         self._write(paths, f"{run}/paths", made["folders"]["paths"], _path_folder(), "tree", "path")
         self._write(stored, f"{run}/entries", made["folders"]["entries"], _folder("entry"))
         ids = materialise(rows.filter("id is not null").groupBy("id").agg(F.min("seq").alias("lowest")), "ids")
