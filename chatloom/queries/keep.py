@@ -119,7 +119,21 @@ def dedup_first_wins(spark, d):
     return dedup.first_wins(_messages(spark, d), _stable()).select("seq", "sender", "content")
 
 
-@query()
+def _one_by_one(first: str, second: str) -> str:
+    """CTEs up to ``kept (seq)``: messages in order, one at a time, without those that share a key with a kept one."""
+    return (
+        f"with recursive m as (select seq, hash({first}) as a, hash({second}) as b from messages), r as (select *, row_number() over (order by seq) as i from m), "
+        "t(one, i, seqs, ks) using key (one) as (select 1, 1, [seq], [a, b] from r where i = 1 union "
+        "select 1, t.i + 1, case when list_contains(t.ks, r.a) or list_contains(t.ks, r.b) then t.seqs else list_append(t.seqs, r.seq) end, "
+        "case when list_contains(t.ks, r.a) or list_contains(t.ks, r.b) then t.ks else list_concat(t.ks, [r.a, r.b]) end from t join r on r.i = t.i + 1), kept as (select unnest(seqs) as seq from t)"
+    )
+
+
+_LOOSE = f"concat('2|', lower({q.strip('sender')}), '|', lower({q.strip('content')}))"
+_CONTENT = f"concat('2|', lower({q.norm('sender')}), '|', {q.norm('content')})"
+
+
+@query(f"{_one_by_one(q.stable(), _LOOSE)} select seq, sender, content from messages where seq in (select seq from kept)")
 def dedup_two_keys(spark, d):
     return dedup.two_keys(_messages(spark, d), _stable(), keys.loose_key(F.col("sender"), F.col("content"))).select("seq", "sender", "content")
 
@@ -157,7 +171,7 @@ def merge_exports(spark, d):
     return rows.select("seq", "id", "sender", "content", times.iso(F.col("timestamp")).alias("timestamp"))
 
 
-@query()
+@query(f"{_one_by_one(q.merge_key(), _CONTENT)} select seq, sender, content from messages where seq in (select seq from kept)")
 def merge_aggressive(spark, d):
     return merge.merge(_messages(spark, d), aggressive=True).select("seq", "sender", "content")
 

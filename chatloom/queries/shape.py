@@ -124,7 +124,15 @@ def join_iou(spark, d):
     return near.iou_pairs(one, one, "shot_id").filter("a <= b").select("shot_id", "a", "b", F.round("iou", 6).alias("iou")).distinct()
 
 
-@query()
+_AREA = "greatest(0, least(k.x + k.width, r.x + r.width) - greatest(k.x, r.x)) * greatest(0, least(k.y + k.height, r.y + r.height) - greatest(k.y, r.y))"
+
+
+@query(
+    "with recursive r as (select shot_id, x, y, width, height, row_number() over (partition by shot_id order by width * height desc, region_seq, x, y, width, height) as i from regions where shot_id is not null), "
+    "s(shot_id, i, kept) using key (shot_id) as (select shot_id, 1, [{'x': x, 'y': y, 'width': width, 'height': height}] from r where i = 1 union "
+    f"select s.shot_id, s.i + 1, case when len(list_filter(s.kept, lambda k: ({_AREA}) > 0.7 * r.width * r.height)) > 0 then s.kept else list_append(s.kept, {{'x': r.x, 'y': r.y, 'width': r.width, 'height': r.height}}) end from s join r on r.shot_id = s.shot_id and r.i = s.i + 1), "
+    "u as (select shot_id, unnest(kept) as k from s) select shot_id, k.x as x, k.y as y, k.width as width, k.height as height from u"
+)
 def join_without_overlaps(spark, d):
     return near.without_overlaps(_regions(spark, d))
 
@@ -171,7 +179,12 @@ def join_hamming(spark, d):
     return near.hamming_pairs(_hashes(spark, d), "vec_id", "h", 18)
 
 
-@query()
+@query(
+    f"with recursive s as ({_SIGNS}), r as (select vec_id, h, row_number() over (order by vec_id) as i from s), "
+    "t(one, i, ids, hs) using key (one) as (select 1, 1, [vec_id], [h] from r where i = 1 union "
+    "select 1, t.i + 1, case when len(list_filter(t.hs, lambda k: bit_count(xor(k, r.h)) <= 18)) > 0 then t.ids else list_append(t.ids, r.vec_id) end, "
+    "case when len(list_filter(t.hs, lambda k: bit_count(xor(k, r.h)) <= 18)) > 0 then t.hs else list_append(t.hs, r.h) end from t join r on r.i = t.i + 1) select unnest(ids) as vec_id from t"
+)
 def dedup_near_hashes(spark, d):
     return near.first_of_near(_hashes(spark, d), "vec_id", "h", 18)
 
