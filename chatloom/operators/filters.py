@@ -81,7 +81,8 @@ def without_fields(df: DataFrame, fields: tuple[str, ...]) -> DataFrame:
 
 def confident(regions: DataFrame, least: float = 0.7, column: str = "confidence") -> DataFrame:
     """Rows with at least the confidence; a null one counts as 0."""
-    return regions.filter(F.coalesce(F.col(column), F.lit(0.0)) >= least)
+    # above 0 no null can meet it, and the plain comparison reaches the scan
+    return regions.filter(F.col(column) >= least if least > 0 else F.coalesce(F.col(column), F.lit(0.0)) >= least)
 
 
 def output_filter(df: DataFrame, system: bool = True, times: bool = False, extra: tuple[str, ...] = ()) -> DataFrame:

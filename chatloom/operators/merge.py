@@ -26,7 +26,8 @@ def order_of(df: DataFrame) -> list[Column]:
     """What merged rows are ordered by: time to the second and then ``seq``; times that can't be read come last, by their
     text, null as empty."""
     if not _as_text(df):
-        return [F.col("timestamp").isNull(), F.date_trunc("second", "timestamp"), F.col("seq")]
+        # the text of a time without a zone is the same in every session
+        return [F.col("timestamp").isNull(), F.substring(F.col("timestamp").cast("string"), 1, 19), F.col("seq")]
     stamp = second(F.col("timestamp"), True)
     return [read_stamp(stamp).isNull(), stamp, F.col("seq")]
 

@@ -28,6 +28,11 @@ def _messages(spark, d):
     return load(spark, d, "messages")
 
 
+def _keyed(df):
+    """What keys are made of and results show: a whole row kept by an aggregation would read every column."""
+    return df.select("seq", "id", "sender", "content", "timestamp")
+
+
 def _stable():
     return keys.stable_key(F.col("id"), F.col("sender"), F.col("timestamp"), F.col("content"))
 
@@ -111,12 +116,12 @@ def filter_summary_probe(spark, d):
 
 @query(f"select seq, content from (select * from messages where not {_SYSTEM} and not {_ONLY_S}) qualify row_number() over (partition by {q.stable()} order by seq) = 1")
 def filter_before_dedup(spark, d):
-    return out_files.accepted(_messages(spark, d), Settings(exclude_times=True), None).select("seq", "content")
+    return out_files.accepted(_messages(spark, d).select("seq", "id", "sender", "content", "message_type", "timestamp"), Settings(exclude_times=True), None).select("seq", "content")
 
 
 @query(f"select seq, sender, content from messages qualify row_number() over (partition by {q.stable()} order by seq) = 1")
 def dedup_first_wins(spark, d):
-    return dedup.first_wins(_messages(spark, d), _stable()).select("seq", "sender", "content")
+    return dedup.first_wins(_keyed(_messages(spark, d)), _stable()).select("seq", "sender", "content")
 
 
 def _one_by_one(first: str, second: str) -> str:
@@ -141,7 +146,7 @@ def dedup_two_keys(spark, d):
 @query(f"with k as (select {q.stable()} as k from messages), i as (select *, {q.stable()} as k from incoming) select seq, content from i where not exists (select 1 from k where k.k = i.k) qualify row_number() over (partition by k order by seq) = 1")
 def dedup_against_index(spark, d):
     messages, incoming = _both(spark, d)
-    return dedup.batch_against(incoming, dedup.index_of(messages, _stable()), _stable()).select("seq", "content")
+    return dedup.batch_against(_keyed(incoming), dedup.index_of(messages, _stable()), _stable()).select("seq", "content")
 
 
 @query(f"select distinct {q.stable()} as key from messages")
@@ -167,7 +172,7 @@ _MERGED = f"select seq, id, sender, content, {q.iso('timestamp')} as timestamp f
 
 @query(f"{_MERGED} order by date_trunc('second', timestamp) nulls last, seq")
 def merge_exports(spark, d):
-    rows = merge.merge(_messages(spark, d), exclude_time_only=True)
+    rows = merge.merge(_keyed(_messages(spark, d)), exclude_time_only=True)
     return rows.select("seq", "id", "sender", "content", times.iso(F.col("timestamp")).alias("timestamp"))
 
 
@@ -183,7 +188,7 @@ def merge_union(spark, d):
 
 @query(f"with u as (select seq, id, sender, content, timestamp from messages union all select seq, id, sender, content, timestamp from incoming) {q.first_by('u', q.stable(), 'seq, sender')}")
 def merge_scans(spark, d):
-    return merge.scans_together([*_both(spark, d)]).select("seq", "sender")
+    return merge.scans_together([_keyed(f) for f in _both(spark, d)]).select("seq", "sender")
 
 
 @query(
@@ -192,7 +197,7 @@ def merge_scans(spark, d):
     f"{q.first_by('u', q.stable(), 'chat_ord, place, sender, content', 'chat_ord, place')}"
 )
 def merge_chats(spark, d):
-    rows = merge.chats_together(_messages(spark, d), F.col("src_file"), F.col("file_ord"), F.col("timestamp"))
+    rows = merge.chats_together(_messages(spark, d).select("seq", "id", "sender", "content", "timestamp", "src_file", "file_ord"), F.col("src_file"), F.col("file_ord"), F.col("timestamp"))
     return rows.select("chat_ord", "place", "sender", "content")
 
 
@@ -232,7 +237,7 @@ def fill_real_time(spark, d):
 
 @query(f"{_REAL} select seq, real_time from r qualify row_number() over (partition by sender, content, real_time order by seq) = 1")
 def merge_by_real_time(spark, d):
-    return fill.merged_by_real_time(_messages(spark, d)).select("seq", "real_time")
+    return fill.merged_by_real_time(_messages(spark, d).select("seq", "sender", "content", "message_type", "src_file")).select("seq", "real_time")
 
 
 @query("select count_if(sender = '我') as own, count_if(sender = '对方') as other, count(*) as total from messages")
