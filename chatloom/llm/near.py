@@ -14,7 +14,9 @@ WIDTH, LEAST_CHARS, THRESHOLD = 5, 100, 0.6
 #: 40 bands of 5 registers: two texts with similarity 0.65 share a band with a probability of 0.993, 0.8 of 0.99999.
 BANDS, ROWS = 40, 5
 #: Texts of a bucket that are paired within one group; larger buckets are cut into blocks, and all pairs of blocks taken.
-BLOCK = 64
+BLOCK = 4096
+#: Registers of which one bit goes with each band key, to tell unlike texts of a bucket apart without their texts.
+SKETCH = 192
 #: Classes of exact copies up to this size are written out pair by pair, larger ones as links to their first member.
 EXPAND = 100
 
@@ -35,7 +37,8 @@ def classes(texts: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
 
 
 def band_keys(reps: DataFrame, ident: str = "rep", width: int = WIDTH, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """``ident, runs, key``: a row for each band of each text; ``runs`` is the number of its distinct shingles."""
+    """``ident, runs, key, bits``: a row for each band of each text; ``runs`` is the number of its distinct shingles, and
+    ``bits`` one bit of each of its first ``SKETCH`` registers, or of all of fewer."""
     import numpy as np
     import pyarrow as pa
 
@@ -47,32 +50,51 @@ def band_keys(reps: DataFrame, ident: str = "rep", width: int = WIDTH, bands: in
                 part = batch.slice(start, 2000)
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 owner, element, _ = shingles(texts, width)
-                keys = fold(probminhash(owner, element, None, len(texts), bands * rows), rows).view("int64")
+                winners = probminhash(owner, element, None, len(texts), bands * rows)
                 sizes = np.bincount(owner, minlength=len(texts)).astype("int32")
                 some = sizes > 0
+                keys = fold(winners[some], rows).view("int64")
+                sketch = np.packbits((winners[some, :SKETCH] & np.uint64(1)).astype(bool), axis=1)
                 ids = part.column(0).to_numpy()[some]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, bands)), pa.array(np.repeat(sizes[some], bands)), pa.array(keys[some].ravel())], names=[ident, "runs", "key"])
+                bits = pa.FixedSizeBinaryArray.from_buffers(pa.binary(sketch.shape[1]), len(ids) * bands, [None, pa.py_buffer(np.repeat(sketch, bands, axis=0))])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, bands)), pa.array(np.repeat(sizes[some], bands)), pa.array(keys.ravel()), bits.cast(pa.binary())], names=[ident, "runs", "key", "bits"])
 
-    return reps.select(ident, "text").mapInArrow(run, f"{ident} bigint, runs int, key bigint")
+    return reps.select(ident, "text").mapInArrow(run, f"{ident} bigint, runs int, key bigint, bits binary")
 
 
-def candidates(keyed: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
-    """``a, b`` (a < b), distinct: texts that share a band key and whose sizes allow the similarity ``least``.
+def crowded(reps: DataFrame, block: int = BLOCK, one_in: int = 64) -> DataFrame:
+    """``key, _blocks``: the band keys that about more than ``block`` texts share, judged by one text in ``one_in``. Which
+    keys are listed decides only how the work is divided, never which pairs are found."""
+    some = band_keys(reps.filter(F.pmod(F.xxhash64("rep"), F.lit(one_in)) == 0))
+    sizes = some.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") * one_in > block)
+    return materialise(sizes.select("key", F.ceil(F.col("_n") * one_in / block).cast("int").alias("_blocks")), "crowded")
 
-    Buckets are counted before they are gathered. One of more than ``block`` texts is cut into blocks by a hash, and
-    each pair of its blocks is a group of its own, so that no group grows with the data and no pair is lost.
+
+def candidates(keyed: DataFrame, least: float, hot: DataFrame | None = None) -> DataFrame:
+    """``a, b`` (a < b), distinct: texts that share a band key, whose sizes allow the similarity ``least``, and whose bits
+    don't rule it out (``signatures.agreeing``).
+
+    Unrelated texts that share some runs meet in a band now and then, and their number grows with the square of the
+    texts, so they are told apart here, where a pair costs nanoseconds, and neither shuffled nor compared. Texts of a key
+    lie side by side in a sorted partition. A key in ``hot`` is cut into blocks by a hash, and each pair of its blocks is
+    a group of its own, so that no group grows with the data and no pair is lost.
     """
-    rows = group_lowest(materialise(keyed, "bands"), ["key"], "rep", "_low", "_n")
-    blocks = F.ceil(F.col("_n") / F.lit(block)).cast("int")
-    rows = rows.withColumn("_blocks", blocks).withColumn("_block", F.pmod(F.xxhash64("rep"), F.col("_blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
-    rows = rows.select("key", "rep", "runs", "_block", other.alias("_other"))
-    rows = rows.select("key", F.least("_block", "_other").alias("_i"), F.greatest("_block", "_other").alias("_j"), F.struct("rep", "runs", "_block").alias("x"))
-    groups = rows.groupBy("key", "_i", "_j").agg(F.sort_array(F.collect_list("x")).alias("xs"))
-    firsts = groups.select("_i", "_j", "xs", F.posexplode("xs").alias("_p", "one"))
-    later = F.filter(F.expr("slice(xs, _p + 2, size(xs))"), lambda y: (y["runs"] >= F.col("one.runs") * least) & (y["runs"] * least <= F.col("one.runs")) & ((F.col("_i") == F.col("_j")) | (y["_block"] != F.col("one._block"))))
-    pairs = firsts.select(F.col("one.rep").alias("a"), F.explode(later).alias("y")).select("a", F.col("y.rep").alias("b"))
-    return pairs.distinct()
+    import pyarrow as pa
+
+    def run(batches):
+        from .signatures import meetings
+
+        for a, b in meetings(batches, least):
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    rows = keyed.select(F.col("key").alias("g"), "rep", "runs", F.lit(0).alias("side"), "bits")
+    if hot is not None and not hot.isEmpty():
+        rows = keyed.join(F.broadcast(hot), "key", "left").withColumn("_i", F.pmod(F.xxhash64("rep"), F.coalesce("_blocks", F.lit(1))).cast("int"))
+        rows = rows.withColumn("_j", F.explode(F.sequence(F.lit(0), F.coalesce("_blocks", F.lit(1)) - 1)))
+        group = F.when(F.col("_blocks").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.least("_i", "_j"), F.greatest("_i", "_j")))
+        rows = rows.select(group.alias("g"), "rep", "runs", F.signum(F.col("_i") - F.col("_j")).cast("int").alias("side"), "bits")
+    near = rows.repartition("g").sortWithinPartitions("g", "rep")
+    return near.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def similarity(a: Column, b: Column, width: int = WIDTH) -> Column:
@@ -108,7 +130,7 @@ def texts_of(messages: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
 def links(messages: DataFrame, least: float = THRESHOLD) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rows ``seq, digest``, first rows ``rep, size``, and links ``a, b, similarity`` between first rows."""
     members, reps = classes(texts_of(messages), "texts")
-    pairs = candidates(band_keys(reps), least)
+    pairs = candidates(band_keys(reps), least, crowded(reps))
     found = verified(pairs, reps.select(F.col("rep").alias("a"), F.col("text").alias("left_text")), reps.select(F.col("rep").alias("b"), F.col("text").alias("right_text")), least)
     return members, reps.drop("text", "key"), materialise(found, "links")
 

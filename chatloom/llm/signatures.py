@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import comb
+
 import numpy as np
 
 _U = np.uint64
@@ -75,6 +77,71 @@ def fold(winners: np.ndarray, rows: int) -> np.ndarray:
     return out
 
 
+def agreeing(bits: int, least: float, miss: float = 1e-4) -> int:
+    """How many of ``bits`` one-bit registers two texts must share. Texts of the similarity ``least`` share each with the
+    probability (1 + least) / 2 and fall below this number with the probability ``miss`` at most; more alike ones less."""
+    p, below = (1 + least) / 2, 0.0
+    for n in range(bits + 1):
+        below += comb(bits, n) * p**n * (1 - p) ** (bits - n)
+        if below > miss:
+            return n
+    return bits
+
+
+def meetings(batches, least: float, most: int = 200_000):
+    """Arrays ``a, b`` of the pairs of rows ``g, rep, runs, side, bits``, sorted by ``g, rep``, with equal ``g``: those of
+    opposite sides, or both of side 0, whose runs and bits allow the similarity ``least``. Arrow batches of one partition
+    come in; rows of the last group are held until it is complete."""
+    out_a, out_b, held, waiting = [], [], [], 0
+
+    def columns(parts):
+        g, rep, size, side = (np.concatenate([b.column(k).to_numpy() for b in parts]) for k in range(4))
+        joined = b"".join(x for b in parts for x in b.column(4).to_pylist())
+        return g, rep, size.astype(float), side, np.frombuffer(joined, np.uint8).reshape(len(g), -1)
+
+    def pairs(g, rep, size, side, bits):
+        width = bits.shape[1]
+        words = np.zeros((len(g), -(-width // 8) * 8), np.uint8)
+        words[:, :width] = bits
+        words = [np.ascontiguousarray(w) for w in words.view(np.uint64).T]
+        apart = width * 8 - agreeing(width * 8, least)
+        i, step = np.flatnonzero(g[1:] == g[:-1]), 1
+        while len(i):
+            j = i + step
+            x, y, s, t = size[i], size[j], side[i], side[j]
+            ok = np.flatnonzero((y >= x * least) & (y * least <= x) & ((s == 0) & (t == 0) | (s * t < 0)) & (rep[i] < rep[j]))
+            m, n = i[ok], j[ok]
+            differ = sum(np.bitwise_count(w[m] ^ w[n]).astype(np.int32) for w in words)
+            yield rep[m[differ <= apart]], rep[n[differ <= apart]]
+            step += 1
+            i = i[i + step < len(g)]
+            i = i[g[i + step] == g[i]]
+
+    def done(parts):
+        nonlocal out_a, out_b, waiting
+        for a, b in pairs(*columns(parts)):
+            out_a.append(a)
+            out_b.append(b)
+            waiting += len(a)
+            if waiting > most:
+                yield np.concatenate(out_a), np.concatenate(out_b)
+                out_a, out_b, waiting = [], [], 0
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        g = batch.column(0).to_numpy()
+        start = int(np.searchsorted(g, g[-1]))
+        if start or held and held[-1].column(0)[0].as_py() != g[0]:
+            yield from done([*held, batch.slice(0, start)])
+            held = []
+        held.append(batch.slice(start))
+    if held:
+        yield from done(held)
+    if out_a:
+        yield np.concatenate(out_a), np.concatenate(out_b)
+
+
 def runs(text: str, width: int) -> set[str]:
     return {text[i : i + width] for i in range(len(text) - width + 1)}
 

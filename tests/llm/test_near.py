@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from chatloom.llm.near import alike_pairs, groups
+from chatloom.llm.near import alike_pairs, band_keys, candidates, crowded, groups
 
 SCHEMA = "seq bigint, content string, raw_ocr_text string, message_type string"
 
@@ -73,3 +73,26 @@ def test_large_classes_stand_as_their_first(spark):
     assert got == star | {(0, 10)} | {(i, 30) for i in [*range(6), *range(10, 17)]}
     assert {(r.seq, r.links) for r in groups(df).collect()} == {(r[0], 13) for r in rows}
     assert df.select(F.col("seq")).count() == 14
+
+
+def test_unlike_texts_that_share_runs_are_no_candidates(spark):
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choice("abcdefghijkl") for _ in range(n))
+    common = word(70)
+    texts = [common + word(130) for _ in range(600)]
+    texts += [texts[i][:150] + "zz" + texts[i][152:] for i in range(60)]
+    reps = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "rep bigint, text string")
+    got = {(r.a, r.b) for r in candidates(band_keys(reps), 0.6).collect()}
+    alike = {(i, 600 + i) for i in range(60)}
+    assert alike <= got and len(got - alike) < 20
+
+
+def test_blocks_of_a_crowded_key_lose_no_pair(spark):
+    rng = random.Random(4)
+    base = texts(1)[0]
+    rows = [(i, base[: (k := rng.randrange(10, 150))] + "z" * rng.randrange(1, 4) + base[k + 1 :]) for i in range(90)]
+    reps = spark.createDataFrame(rows, "rep bigint, text string")
+    hot = crowded(reps, block=20, one_in=1)
+    assert hot.count() > 10
+    whole, cut = ({(r.a, r.b) for r in candidates(band_keys(reps), 0.6, h).collect()} for h in (None, hot))
+    assert cut == whole and len(whole) > 3900
