@@ -10,9 +10,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Cells of each table, and the highest count kept: each key adds to two cells and has the lower one's count, so that a
-#: table takes 2 x 4 MB whatever the size of the corpus. Counts are never too low; with more keys than cells they grow.
+#: Cells of each table, and the highest count told apart: each key adds to two cells and has the lower one's count, so that
+#: a table takes 2 x 16 MB whatever the size of the corpus. Counts are never too low; with more keys than cells they grow.
 CELLS, MOST = 1 << 22, 255
+#: Words and runs of a corpus up to which counts are compared as they are; those of a larger one are brought down to it, but
+#: the better known of two keys to ``SEEN`` times at least, so that a rare word stays known.
+WORDS_AS_THEY_ARE, RUNS_AS_THEY_ARE, SEEN = 1 << 20, 1 << 21, 8
 #: A word, in which signs may stand for letters.
 WORDS = re.compile(r"(?:[^\W_]|[!|@$](?=[^\W\d_]))(?:[^\W_]|[!|@$](?=[^\W\d_])|['’](?=[^\W\d_]))*")
 _HAN_LOW, _HAN_HIGH = 0x4E00, 0x9FFF
@@ -39,6 +42,9 @@ class Counts:
 
     def __init__(self, words: tuple[np.ndarray, np.ndarray], runs: tuple[np.ndarray, np.ndarray]):
         self.words, self.runs = words, runs
+        #: how many times the corpus is larger than one whose counts are compared as they are
+        self.word_scale = max(1.0, float(words[0].sum(dtype=np.int64)) / WORDS_AS_THEY_ARE)
+        self.run_scale = max(1.0, float(runs[0].sum(dtype=np.int64)) / RUNS_AS_THEY_ARE)
         self._seen: dict[str, int] = {}
 
     def word(self, w: str) -> int:
@@ -66,6 +72,14 @@ class Counts:
         return n if n > 1 else 0
 
 
+def leveled(scale: float, *counts: int) -> list[int]:
+    """Counts of keys to compare, as they would be in a corpus ``scale`` times smaller, or in one less small in which the
+    best known of them is still found ``SEEN`` times. Misreadings become as common as the corpus is large, so that what
+    tells them apart is how common a word is beside another one."""
+    by = min(scale, max(1.0, max(counts) / SEEN))
+    return [n if n > 1 else 0 for n in (min(int(n / by), MOST) for n in counts)]
+
+
 def _add(texts: list[str], words: list[np.ndarray], runs: list[np.ndarray]) -> None:
     seen = Counter()
     for t in texts:
@@ -86,7 +100,7 @@ def of_texts(texts: list[str]) -> Counts:
     """Counts of a few texts."""
     words, runs = ([np.zeros(CELLS, np.uint32) for _ in range(2)] for _ in range(2))
     _add(texts, words, runs)
-    return Counts(tuple(np.minimum(t, MOST).astype(np.uint8) for t in words), tuple(np.minimum(t, MOST).astype(np.uint8) for t in runs))
+    return Counts(tuple(words), tuple(runs))
 
 
 def of_corpus(texts: DataFrame, prepare) -> Counts:
@@ -102,10 +116,10 @@ def of_corpus(texts: DataFrame, prepare) -> Counts:
             cells = np.flatnonzero(table)
             for start in range(0, len(cells), 100_000):
                 some = cells[start : start + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(some + k * CELLS, pa.int64()), pa.array(np.minimum(table[some], MOST).astype(np.int64))], names=["cell", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(some + k * CELLS, pa.int32()), pa.array(table[some], pa.int64())], names=["cell", "n"])
 
-    sums = texts.mapInArrow(fill, "cell bigint, n bigint").groupBy("cell").agg(F.least(F.sum("n"), F.lit(MOST)).cast("smallint").alias("n")).toArrow()
-    flat = np.zeros(4 * CELLS, np.uint8)
+    sums = texts.mapInArrow(fill, "cell int, n bigint").groupBy("cell").agg(F.least(F.sum("n"), F.lit((1 << 31) - 1)).cast("int").alias("n")).toArrow()
+    flat = np.zeros(4 * CELLS, np.uint32)
     flat[sums.column(0).to_numpy()] = sums.column(1).to_numpy()
     parts = flat.reshape(4, CELLS)
     return Counts((parts[0], parts[1]), (parts[2], parts[3]))

@@ -21,7 +21,7 @@ from pyspark.sql.types import ArrayType, StringType
 
 from chatloom.runtime import bounded_sample
 
-from .counts import WORDS, Counts, of_corpus, of_texts
+from .counts import WORDS, Counts, leveled, of_corpus, of_texts
 
 # What is read, then what may have stood there.
 LATIN = [("0", "o"), ("1", "l"), ("1", "i"), ("!", "i"), ("!", "l"), ("|", "l"), ("|", "i"), ("@", "a"), ("5", "s"), ("$", "s"), ("9", "g"), ("6", "b"), ("8", "b"), ("3", "e"), ("4", "a"), ("7", "t"), ("c", "e"), ("e", "c"), ("cl", "d"), ("d", "cl"), ("b", "h"), ("h", "b"), ("rn", "m"), ("m", "rn"), ("vv", "w"), ("ii", "u"), ("li", "h"), ("nn", "m"), ("u", "v"), ("v", "u"), ("f", "t"), ("t", "f"), ("l", "i"), ("i", "l"), ("q", "g"), ("g", "q")]
@@ -40,7 +40,7 @@ _HAN_OLD = re.compile(f"[{''.join(HAN_OF)}]")
 KINDS = ("hyphen", "misread", "header", "page_number")
 _ADDRESS = re.compile(r"[@.][\w]|[+\-_]\w*@|\w*\.\w*/")
 MODEL_TEXTS, ROUNDS = 12000, 3
-#: A word found more often is none that was misread; most entries of each memo of a worker.
+#: A word found more often (for its size, in a large corpus) is none that was misread; most entries of each memo of a worker.
 COMMON, MEMO = 50, 200_000
 
 
@@ -145,32 +145,32 @@ class Editor:
 
     def joins(self, a: str, b: str) -> bool:
         """Whether a hyphen at a line's end splits a word."""
-        return self.model.score(join_features(a, b, self.counts.word)) > 0
+        return self.model.score(join_features(a, b, self.counts.word, self.counts.word_scale)) > 0
 
     def _of_word(self, low: str):
         """``start, end, new, features`` of the edits proposed in a word; none in a common one."""
-        word = self.counts.word
-        before = word(low)
-        if before > COMMON:
+        word, scale = self.counts.word, self.counts.word_scale
+        found = word(low)
+        if found > COMMON * scale:
             return
         for old, new in LATIN:
             at = low.find(old)
             while at >= 0:
-                after = word(low[:at] + new + low[at + len(old) :])
+                before, after = leveled(scale, found, word(low[:at] + new + low[at + len(old) :]))
                 if after > 2:
                     yield at, at + len(old), new, word_features(before, after, old, new, at == 0 or at + len(old) == len(low))
                 at = low.find(old, at + 1)
 
     def _of_han(self, left: str, c: str, right: str):
         """``new, features`` of what may have stood for a Han character between up to two others on each side."""
-        run = self.counts.run
+        run, scale = self.counts.run, self.counts.run_scale
         if len(left + right) < 2:
             return
         for new in HAN_OF[c]:
             f = ["h", "o:replace", f"e{c}>{new}"]
             gain, most_x, most_y, middle = 0.0, 0, 0, False
             for a, b in ((left, ""), (left[-1:], right[:1]), ("", right)):
-                x, y = run(a + c + b), run(a + new + b)
+                x, y = leveled(scale, run(a + c + b), run(a + new + b))
                 f.append(f"r{len(a)}{_step(x)}>{_step(y)}")
                 gain += log2(1 + y) - log2(1 + x)
                 most_x, most_y = max(most_x, x), max(most_y, y)
@@ -199,7 +199,7 @@ class Editor:
         rare = set()
         for w in set(TOKEN.findall(text)) - self._common:
             low = w.lower()
-            if len(w) < 3 or not w.isascii() or self.counts.word(low) > COMMON:
+            if len(w) < 3 or not w.isascii() or self.counts.word(low) > COMMON * self.counts.word_scale:
                 self._common.add(w)
                 continue
             if low not in self._words:
@@ -246,12 +246,17 @@ def word_features(before: int, after: int, old: str, new: str, edge: bool) -> li
     return [f"w{_step(before)}>{_step(after)}", f"s{sign:d}{edge:d}", f"e{old}>{new}", f"b{_step(before)}{sign:d}", "w", f"o:{op}"]
 
 
-def join_features(a: str, b: str, word) -> list[str]:
+def _join_counts(a: str, b: str, word, scale: float) -> tuple[int, int]:
+    """How common, beside each other, the word of two parts and its rarer part are."""
+    whole, rarer = leveled(scale, word((a + b).lower()), min(word(a.lower()), word(b.lower())))
+    return whole, rarer
+
+
+def join_features(a: str, b: str, word, scale: float = 1.0) -> list[str]:
     """Features of joining two lines at a hyphen: how common the word and its parts are, and how the next line begins."""
     low = b[:1].islower() or a.isupper()
-    a, b = a.lower(), b.lower()
-    parts = min(len(a), len(b)) > 2 and min(word(a), word(b)) > 3
-    whole = word(a + b)
+    whole, rarer = _join_counts(a, b, word, scale)
+    parts = min(len(a), len(b)) > 2 and rarer > 3
     return ["j", "o:join", f"j{low:d}", f"jw{_step(whole)}{parts:d}", f"jk{whole > 0:d}{parts:d}{low:d}", f"jp{parts:d}"]
 
 
@@ -294,7 +299,7 @@ def train(texts: list[str], counts: Counts | None = None, seed: int = 7) -> Edit
     for pair in HAN:
         back.setdefault(pair[1], []).append(pair[0])
     examples, words = [], []
-    word = editor.counts.word
+    word, scale = editor.counts.word, editor.counts.word_scale
     for t in flows[:: max(1, len(flows) // 3000)]:
         # what is proposed on the text as it is should stay; the few real misreadings in it are outvoted
         examples += [(f, False) for *_, f in editor.edits(t[:600])]
@@ -312,13 +317,14 @@ def train(texts: list[str], counts: Counts | None = None, seed: int = 7) -> Edit
                 k = rng.randrange(2, len(w) - 1)
                 # its own place counts the word once, and a rare word should be joined as well
                 seen = (lambda x: word(x)) if rng.random() < 0.7 else (lambda x, w=w: 0 if x == w.lower() else word(x))
-                parts = min(word(w[:k].lower()), word(w[k:].lower()))
-                if not (seen(w.lower()) == 0 and parts > 3 and min(k, len(w) - k) > 2):
-                    examples.append((join_features(w[:k], w[k:], seen), True))
+                whole, rarer = _join_counts(w[:k], w[k:], seen, scale)
+                if not (whole == 0 and rarer > 3 and min(k, len(w) - k) > 2):
+                    examples.append((join_features(w[:k], w[k:], seen, scale), True))
         if len(words) > 2:
             a, b = rng.choice(words), rng.choice(words)
-            if min(len(a), len(b)) > 2 and not word((a + b).lower()) and min(word(a.lower()), word(b.lower())) > 3:
-                examples += [(join_features(a, b.lower(), word), False), (join_features(a.lower(), b.capitalize(), word), False)]
+            whole, rarer = _join_counts(a, b, word, scale)
+            if min(len(a), len(b)) > 2 and not whole and rarer > 3:
+                examples += [(join_features(a, b.lower(), word, scale), False), (join_features(a.lower(), b.capitalize(), word, scale), False)]
     editor.model = Perceptron.train(examples, rng)
     return editor
 
